@@ -20,7 +20,7 @@ def rows_of(pdf):
             return tuple(plain(x) for x in v)
         if isinstance(v, dict):
             return tuple(plain(x) for x in v.values())
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
         if isinstance(v, (bool, np.bool_)):
             return bool(v)

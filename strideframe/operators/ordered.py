@@ -161,3 +161,35 @@ def carried(
             {n: F.coalesce(n, f"_o_{n}") for n in held}
         )
     return out.select(*df.columns, *held)
+
+
+def lagged(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    along: Column,
+    previous: dict[str, Column],
+    limit: int = HOT_ROWS,
+    hot: DataFrame | None = None,
+    find_hot: bool = True,
+) -> DataFrame:
+    """Add, per entry of ``previous``, the value the preceding row of the key has (NULL on its first row)."""
+    if hot is None and find_hot:
+        hot = hot_keys(df, keys, along, limit)
+    keys = list(keys)
+    source = df.select("*", *[c.alias(f"_v_{n}") for n, c in previous.items()])
+    parts = chunked(source, keys, along, hot)
+    span = (Window.partitionBy(*keys, "_chunk") if hot is not None else Window.partitionBy(*keys)).orderBy(*order)
+    out = parts.select("*", *[F.lag(f"_v_{n}").over(span).alias(n) for n in previous])
+    if hot is not None:
+        out = out.withColumn("_first", F.row_number().over(span) == 1)
+        last = (
+            parts.where(F.col("_chunk") >= 0)
+            .groupBy(*keys, "_chunk")
+            .agg(F.max_by(F.struct(*[f"_v_{n}" for n in previous]), F.struct(*order)).alias("_last"))
+            .select(*keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_last"))
+        )
+        out = out.join(last, [*keys, "_chunk"], "left").withColumns(
+            {n: F.when(F.col("_first"), F.col("_last").getField(f"_v_{n}")).otherwise(F.col(n)) for n in previous}
+        )
+    return out.select(*df.columns, *previous)

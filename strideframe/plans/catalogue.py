@@ -1,6 +1,6 @@
 """Everything that is registered."""
 
-from strideframe.plans import sensor_queries  # noqa: F401
+from strideframe.plans import lifecycle_queries, sensor_queries  # noqa: F401
 from strideframe.plans.registry import CHECKS, QUERIES, Query
 
 

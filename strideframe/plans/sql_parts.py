@@ -142,3 +142,80 @@ spec AS (
       -sum((p/total) * log2(p/total + 1e-12)) / log2(count(*) FILTER (WHERE p > 0) + 1e-12) ELSE 0 END AS spec_entropy
   FROM totals GROUP BY {k}, channel
 )"""
+
+# Views on events and customer.
+USERS = """users AS (
+  SELECT c_custkey AS id, c_name AS name, 'user' || c_custkey || '@example.org' AS email,
+    CASE WHEN c_custkey % 50 = 0 THEN 'ADMIN' WHEN c_custkey % 3 = 0 THEN 'CAREGIVER' ELSE 'PATIENT' END AS role,
+    CASE WHEN c_custkey % 4 > 0 THEN 'Contact ' || c_custkey WHEN c_custkey % 8 = 0 THEN '' END AS emergency_contact_name,
+    CASE WHEN c_custkey % 5 > 0 THEN '+1555' || (c_custkey + 10000) END AS emergency_contact_phone
+  FROM customer WHERE c_custkey % 7 > 0
+)"""
+
+FALLS = """falls AS (
+  SELECT event_id, user_id, 'dev_' || (user_id % 7) AS device_id, ts,
+    CAST(0.5 AS DOUBLE) + (event_id % 499) / CAST(1000 AS DOUBLE) AS confidence,
+    CASE WHEN event_id % 3 > 0 THEN (event_id % 997) / CAST(1000 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS fall_probability,
+    'HIGH' AS risk_level,
+    CASE WHEN event_id % 4 = 0 THEN (event_id % 180) / CAST(2 AS DOUBLE) - 45 END AS location_lat,
+    CASE WHEN event_id % 4 = 0 THEN (event_id % 360) / CAST(2 AS DOUBLE) - 90 END AS location_lon,
+    'Potential fall detected. Awaiting user response (21600.0s timeout).' AS notes
+  FROM events WHERE event_type = 'error'
+)"""
+
+ACTIONS = """tied AS (
+  SELECT *, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (
+    PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS fall_id FROM events
+),
+actions AS (
+  SELECT fall_id AS event_id, ts, event_id AS seq,
+    CASE WHEN event_type <> 'view' THEN 'response' WHEN event_id % 2 = 0 THEN 'note' ELSE 'acknowledge' END AS kind,
+    CASE event_type WHEN 'click' THEN 'OK' WHEN 'purchase' THEN 'HELP' WHEN 'signup' THEN 'UNKNOWN'
+      ELSE CASE WHEN event_id % 2 = 0 THEN 'NOTE' ELSE 'ACK' END END AS what,
+    CASE WHEN event_type = 'view' THEN 'operator' || (event_id % 5) END AS "by",
+    CASE WHEN event_type = 'view' AND event_id % 3 > 0 THEN 'checked ' || event_id
+      WHEN event_type = 'view' THEN '' END AS note,
+    CASE WHEN event_type IN ('click', 'purchase') AND event_id % 2 = 0
+      THEN (event_id % 170) / CAST(2 AS DOUBLE) - 40 END AS lat,
+    CASE WHEN event_type IN ('click', 'purchase') AND event_id % 4 = 0
+      THEN (event_id % 350) / CAST(2 AS DOUBLE) - 80 END AS lon
+  FROM tied WHERE event_type <> 'error' AND fall_id IS NOT NULL
+)"""
+
+# The log with the timer written in as an action of its own, in order of effect.
+TIMELINE = f"""{FALLS}, {ACTIONS},
+opened AS (
+  SELECT f.*, f.ts + INTERVAL 6 HOUR AS due,
+    (SELECT min(a.ts) FROM actions a WHERE a.event_id = f.event_id AND a.kind = 'response') AS first_response
+  FROM falls f
+),
+timeline AS (
+  SELECT event_id, ts, 1 AS late, seq, what, "by", note, lat, lon FROM actions
+  UNION ALL
+  SELECT event_id, due, 0, -1, 'TIMEOUT', NULL, NULL, NULL, NULL FROM opened
+  WHERE first_response IS NULL OR first_response >= due
+),
+steps AS (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, late, seq) AS step FROM timeline
+)"""
+
+PREDICTIONS = """predictions AS (
+  SELECT event_id AS id, ts AS timestamp,
+    CASE event_type WHEN 'error' THEN 'FALL' WHEN 'view' THEN 'SITTING' WHEN 'click' THEN 'STANDING' ELSE 'WALKING' END
+      AS activity,
+    CAST(0.5 AS DOUBLE) + (event_id % 499) / CAST(1000 AS DOUBLE) AS confidence,
+    CASE WHEN event_type = 'error' THEN 'HIGH' WHEN event_id % 5 = 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+    event_type = 'error' AS is_fall, 'dev_' || (user_id % 7) AS device_id, user_id
+  FROM events
+)"""
+
+CLASS_LIST = "['FALL', 'LAYING', 'SITTING', 'STANDING', 'WALKING', 'WALKING_UPSTAIRS']"
+JUDGED = f"""judged AS (
+  SELECT {CLASS_LIST}[a + 1] AS actual, {CLASS_LIST}[p + 1] AS predicted,
+    least(CAST(1 AS DOUBLE), (l_quantity + CASE WHEN a = 0 THEN 14 ELSE 0 END) / CAST(64 AS DOUBLE)) AS score
+  FROM (
+    SELECT l_quantity, l_partkey % 6 AS a,
+      CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN (l_suppkey * 7 + l_linenumber) % 6 ELSE l_partkey % 6 END AS p
+    FROM lineitem)
+),
+pairs AS (SELECT actual, predicted, count(*) AS n FROM judged GROUP BY ALL)"""
