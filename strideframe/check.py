@@ -36,6 +36,19 @@ def rows_of(pdf):
     return columns, sorted(data, key=repr)
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "timestamp": "TIMESTAMP"}
+
+
+def type_differences(mine, relation) -> list[str]:
+    """Columns of plain types whose type differs between the two engines."""
+    theirs = dict(zip(relation.columns, (str(t) for t in relation.types)))
+    return [
+        f"{f.name}: {f.dataType.simpleString()} vs {theirs[f.name]}" for f in mine.schema
+        if f.dataType.simpleString() in KINDS and f.name in theirs and theirs[f.name] != KINDS[f.dataType.simpleString()]
+    ]
+
+
 def compare(spark, sf: str, name: str, connection=None) -> tuple[bool, str]:
     import duckdb
 
@@ -45,18 +58,21 @@ def compare(spark, sf: str, name: str, connection=None) -> tuple[bool, str]:
     for t in TABLES:
         con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     t0 = time.time()
-    mine = catalogue.queries()[name](spark, sf).toPandas()
+    frame = catalogue.queries()[name](spark, sf)
+    mine = frame.toPandas()
     t1 = time.time()
     if name not in catalogue.oracle_sql():
         return True, f"rows={len(mine)} (no SQL) spark={t1 - t0:.1f}s"
-    theirs = con.execute(catalogue.oracle_sql()[name]).df()
+    relation = con.sql(catalogue.oracle_sql()[name])
+    theirs = relation.df()
     t2 = time.time()
     (c1, r1), (c2, r2) = rows_of(mine), rows_of(theirs)
     note = f"rows={len(r1)}/{len(r2)} spark={t1 - t0:.1f}s duckdb={t2 - t1:.1f}s"
     if c1 != c2:
         return False, f"{note} columns {sorted(set(c1) ^ set(c2))}"
     if r1 == r2:
-        return True, note
+        off = type_differences(frame, relation)
+        return True, note + (f" TYPES {off}" if off else "")
     bad = [(a, b) for a, b in zip(r1, r2) if a != b]
     first = ""
     if bad:

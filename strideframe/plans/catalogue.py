@@ -1,6 +1,11 @@
 """Everything that is registered."""
 
-from strideframe.plans import lifecycle_queries, sensor_queries  # noqa: F401
+from strideframe.plans import (  # noqa: F401
+    history_queries,
+    lifecycle_queries,
+    quality_queries,
+    sensor_queries,
+)
 from strideframe.plans.registry import CHECKS, QUERIES, Query
 
 

@@ -11,7 +11,7 @@ from strideframe.sources import writers
 
 TIMEOUT = 6 * 3600.0
 
-_OUTCOMES = f"""{Q.TIMELINE},
+OUTCOMES_SQL = f"""{Q.TIMELINE},
 folded AS (
   SELECT event_id,
     arg_max(what, step) FILTER (WHERE what IN ('OK', 'HELP', 'ACK', 'TIMEOUT')) AS last_status,
@@ -39,7 +39,7 @@ outcomes AS (
 
 @query(
     "fall_event_outcomes",
-    f"""WITH {_OUTCOMES}
+    f"""WITH {OUTCOMES_SQL}
 SELECT event_id, status, confirmed, timed_out, CAST(dispatches AS BIGINT) AS dispatches, dispatches > 0 AS alert_sent,
   acknowledged, acknowledged_at, acknowledged_by, lat AS location_lat, lon AS location_lon FROM outcomes""",
 )
@@ -190,7 +190,7 @@ SELECT f.event_id, 'UNACKNOWLEDGED' AS status,
     || format('{{:.1f}}', confidence * 100) || '%' AS log_message,
   'High-confidence fall signature (' || format('{{:.1f}}', confidence * 100) || '%) detected.' AS notes,
   round(CASE WHEN fall_probability = 0 THEN confidence ELSE fall_probability END, 6) AS fall_probability
-FROM walk w JOIN falls f ON f.event_id = w.event_id WHERE w.take""".replace("{{", "{").replace("}}", "}"),
+FROM walk w JOIN falls f ON f.event_id = w.event_id WHERE w.take""",
 )
 def direct_alert_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     fell = falls(spark, sf).drop("notes").withColumn("notes", F.lit(None).cast("string"))
@@ -216,7 +216,7 @@ def global_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     return cooldown.accepted(falls(spark, sf), [], "ts", "event_id", 3600.0, per_chunk=64)
 
 
-_OUTCOME_MESSAGES = f"""WITH {_OUTCOMES}
+_OUTCOME_MESSAGES = f"""WITH {OUTCOMES_SQL}
 SELECT event_id, 'monitors,devices' AS audience,
   '{{"type":"FALL_CONFIRMATION_RESOLVED","data":{{"event_id":' || event_id || ',"status":"' || status
   || '","device_id":"' || device_id || '","message":"'

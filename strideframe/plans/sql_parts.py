@@ -87,8 +87,9 @@ def channel_sql(c: str) -> dict[str, str]:
         f"{c}_rms": f"sqrt(avg({c}*{c}))",
         f"{c}_energy": f"avg({c}*{c})",
         f"{c}_p2p": f"max({c}) - min({c})",
-        f"{c}_skew": f"CASE WHEN coalesce(stddev_samp({c}), 0) > 1e-7 THEN skewness({c}) ELSE 0 END",
-        f"{c}_kurtosis": f"CASE WHEN coalesce(stddev_samp({c}), 0) > 1e-7 THEN kurtosis({c}) ELSE 0 END",
+        f"{c}_skew": f"CASE WHEN coalesce(stddev_samp({c}), 0) > 1e-7 THEN coalesce(skewness({c}), 0) ELSE 0 END",
+        f"{c}_kurtosis": f"CASE WHEN coalesce(stddev_samp({c}), 0) > 1e-7 THEN"
+        f" CASE WHEN count(*) > 3 THEN kurtosis({c}) ELSE kurtosis_pop({c}) END ELSE 0 END",
     }
 
 
@@ -143,6 +144,31 @@ spec AS (
   FROM totals GROUP BY {k}, channel
 )"""
 
+def spectral_any(channels: list[str], key: str, source: str) -> str:
+    """The same for windows of any length (zeros below four samples)."""
+    union = " UNION ALL ".join(f"SELECT {key}, pos, '{c}' AS channel, {c} AS x FROM {source}" for c in channels)
+    return f""",
+signal AS ({union}),
+centred AS (
+  SELECT {key}, channel, pos, x - avg(x) OVER o AS y, count(*) OVER o AS n FROM signal
+  WINDOW o AS (PARTITION BY {key}, channel)
+),
+power AS (
+  SELECT {key}, channel, n, k AS bin,
+    power(sum(y*cos(2*pi()*k*(pos-1)/n)), 2) + power(sum(y*sin(2*pi()*k*(pos-1)/n)), 2) AS p
+  FROM (SELECT *, unnest(generate_series(1, greatest(n // 2, 1))) AS k FROM centred) GROUP BY {key}, channel, n, k
+),
+totals AS (SELECT *, sum(p) OVER (PARTITION BY {key}, channel) AS total FROM power),
+spec AS (
+  SELECT {key}, channel,
+    CASE WHEN n >= 4 AND max(total) > 1e-9 THEN arg_max(bin, p) * CAST(50 AS DOUBLE) / n ELSE 0 END AS dom_freq,
+    CASE WHEN n >= 4 THEN max(total) / (n + 1e-9) ELSE 0 END AS spec_energy,
+    CASE WHEN n >= 4 AND max(total) > 1e-9 THEN
+      -sum((p/total) * log2(p/total + 1e-12)) / log2(count(*) FILTER (WHERE p > 0) + 1e-12) ELSE 0 END AS spec_entropy
+  FROM totals GROUP BY {key}, channel, n
+)"""
+
+
 # Views on events and customer.
 USERS = """users AS (
   SELECT c_custkey AS id, c_name AS name, 'user' || c_custkey || '@example.org' AS email,

@@ -88,7 +88,8 @@ def read_matrices(spark: SparkSession, root: str, splits: Sequence[str] = ("trai
 
 def parse_packets(lines: DataFrame, value: str = "value") -> DataFrame:
     """JSON packets: ``_bad`` marks messages that are not JSON objects; they do not stop the stream."""
-    packet = F.from_json(value, S.PACKET.add("_corrupt", "string"), {
+    schema = T.StructType([*S.PACKET.fields, T.StructField("_corrupt", T.StringType())])
+    packet = F.from_json(value, schema, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
     })
     parsed = lines.withColumn("_p", packet)
