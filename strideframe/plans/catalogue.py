@@ -5,6 +5,7 @@ from strideframe.plans import (  # noqa: F401
     lifecycle_queries,
     quality_queries,
     sensor_queries,
+    stream_queries,
 )
 from strideframe.plans.registry import CHECKS, QUERIES, Query
 

@@ -161,7 +161,7 @@ def stream_keys(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "device_connectivity",
     """WITH g AS (SELECT *, row_number() OVER o AS rn,
-    CASE WHEN lag(ts) OVER o IS NULL OR ts - lag(ts) OVER o > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS opens
+    CASE WHEN lag(ts) OVER o IS NULL OR ts - lag(ts) OVER o >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS opens
   FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY rn) AS session_no FROM g)
 SELECT user_id, CAST(session_no AS BIGINT) AS session_no, min(ts) AS connected_at, max(ts) AS last_seen,

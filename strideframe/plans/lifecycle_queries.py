@@ -11,7 +11,7 @@ from strideframe.sources import writers
 
 TIMEOUT = 6 * 3600.0
 
-OUTCOMES_SQL = f"""{Q.TIMELINE},
+_FOLD_SQL = """
 folded AS (
   SELECT event_id,
     arg_max(what, step) FILTER (WHERE what IN ('OK', 'HELP', 'ACK', 'TIMEOUT')) AS last_status,
@@ -36,6 +36,11 @@ outcomes AS (
   FROM opened f LEFT JOIN folded x USING (event_id) LEFT JOIN steps s ON s.event_id = f.event_id AND s.step = x.last_ack
 )"""
 
+OUTCOMES_SQL = f"{Q.timeline()},{_FOLD_SQL}"
+# The same when the stream ends: a timer due after the last row has not fired.
+_LAST_ROW = "(SELECT max(ts) FROM (SELECT ts FROM falls UNION ALL SELECT ts FROM actions WHERE what <> 'NOTE'))"
+OUTCOMES_AT_END_SQL = f"{Q.timeline(_LAST_ROW)},{_FOLD_SQL}"
+
 
 @query(
     "fall_event_outcomes",
@@ -65,7 +70,7 @@ def first_response_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.first_resolution(falls(spark, sf), actions(spark, sf), TIMEOUT)
 
 
-_DISPATCHED = f"""{Q.TIMELINE},
+_DISPATCHED = f"""{Q.timeline()},
 located AS (
   SELECT *, last_value(CASE WHEN what IN ('OK', 'HELP') THEN lat END IGNORE NULLS) OVER o AS l1,
     last_value(CASE WHEN what IN ('OK', 'HELP') THEN lon END IGNORE NULLS) OVER o AS l2

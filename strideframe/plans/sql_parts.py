@@ -208,8 +208,10 @@ actions AS (
   FROM tied WHERE event_type <> 'error' AND fall_id IS NOT NULL
 )"""
 
-# The log with the timer written in as an action of its own, in order of effect.
-TIMELINE = f"""{FALLS}, {ACTIONS},
+
+def timeline(as_of: str = "TIMESTAMP '9999-12-31 00:00:00'") -> str:
+    """The log with the timer written in as an action of its own, in order of effect, as known at ``as_of``."""
+    return f"""{FALLS}, {ACTIONS},
 opened AS (
   SELECT f.*, f.ts + INTERVAL 6 HOUR AS due,
     (SELECT min(a.ts) FROM actions a WHERE a.event_id = f.event_id AND a.kind = 'response') AS first_response
@@ -219,12 +221,13 @@ timeline AS (
   SELECT event_id, ts, 1 AS late, seq, what, "by", note, lat, lon FROM actions
   UNION ALL
   SELECT event_id, due, 0, -1, 'TIMEOUT', NULL, NULL, NULL, NULL FROM opened
-  WHERE first_response IS NULL OR first_response >= due
+  WHERE (first_response IS NULL OR first_response >= due) AND due <= {as_of}
 ),
 steps AS (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, late, seq) AS step FROM timeline
 )"""
 
+
 PREDICTIONS = """predictions AS (
   SELECT event_id AS id, ts AS timestamp,
     CASE event_type WHEN 'error' THEN 'FALL' WHEN 'view' THEN 'SITTING' WHEN 'click' THEN 'STANDING' ELSE 'WALKING' END
