@@ -2,6 +2,7 @@
 
 from strideframe.plans import (  # noqa: F401
     history_queries,
+    learning_queries,
     lifecycle_queries,
     quality_queries,
     sensor_queries,
