@@ -67,15 +67,15 @@ def fill_gaps(
 ) -> DataFrame:
     """Forward then backward fill per key.
 
-    Windows (``keys=["window_id"]``) are short, so two frames of one window pass do. With ``along`` the keys may be
+    Windows (``keys=["window_id"]``) are short, so one pass per direction does. With ``along`` the keys may be
     of any length (a subject, a whole file): large ones are split and filled chunk by chunk.
     """
     present = [a for a in axes if a in df.columns]
     if along is None:
-        past = Window.partitionBy(*keys).orderBy(*order)
-        ahead = past.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        past = past.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({a: F.coalesce(F.last(a, True).over(past), F.first(a, True).over(ahead)) for a in present})
+        seen = (Window.unboundedPreceding, Window.currentRow)
+        past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*seen)
+        ahead = Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order]).rowsBetween(*seen)
+        return df.withColumns({a: F.coalesce(F.last(a, True).over(past), F.last(a, True).over(ahead)) for a in present})
     held = carried(df, keys, order, along, {f"_p_{a}": F.col(a) for a in present}, limit)
     held = carried(held, keys, order, along, {f"_n_{a}": F.col(a) for a in present}, limit, forward=False)
     return held.withColumns({a: F.coalesce(f"_p_{a}", f"_n_{a}") for a in present}).select(*df.columns)

@@ -1,9 +1,10 @@
 """Cooldown suppression: accept an alert only if the last accepted one of its key is old enough.
 
-The decision depends on the last *accepted* alert, so it is a chain along time. To keep one busy key (or the global
-clock, ``keys=[]``) out of a single task, time is cut into chunks of many cooldowns. An earlier acceptance can only
-matter for alerts within one cooldown of a chunk's start, so each chunk reports, for those few possible entries, where
-its chain would end; a short walk over the reports fixes every chunk's real entry; the chunks are then replayed.
+The decision depends on the last *accepted* alert, so it is a chain along time. Ordinary keys are walked in order, one
+pass over the sorted rows of a partition. A key above ``limit`` rows (or the global clock, ``keys=[]``) is kept out of
+a single task: its time is cut into chunks of many cooldowns. An earlier acceptance can only matter for alerts within
+one cooldown of a chunk's start, so each chunk reports, for those few possible entries, where its chain would end; a
+short walk over the reports fixes every chunk's real entry; the chunks are then replayed.
 """
 
 from collections.abc import Iterator, Sequence
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe import schemas as S
+from strideframe.operators.ordered import HOT_ROWS, hot_keys
 
 COOLDOWNS_PER_CHUNK = 4096
 
@@ -29,17 +31,55 @@ def accepted(
     ident: str,
     cooldown: float = S.COOLDOWN_SECONDS,
     per_chunk: int = COOLDOWNS_PER_CHUNK,
+    limit: int = HOT_ROWS,
 ) -> DataFrame:
     """``keys, ident, ts`` of the accepted rows; ties on ``ts`` go to the lowest ``ident``. ``keys=[]``: one clock."""
     gap = int(round(cooldown * 1_000_000))
-    span = gap * per_chunk
     keys = list(keys)
-    source = df if keys else df.withColumn("_clock", F.lit(0))
     by = keys or ["_clock"]
+    source = df if keys else df.withColumn("_clock", F.lit(0))
+    source = source.select(*by, F.unix_micros(ts).alias("_t"), F.col(ident).alias("_id"))
+    hot = hot_keys(source, by, F.col("_t"), limit)
+    if hot is None:
+        kept = _walked(source, by, gap)
+    else:
+        split = F.broadcast(hot.select(*by))
+        kept = _walked(source.join(split, by, "left_anti"), by, gap).unionByName(
+            _chained(source.join(split, by, "left_semi"), by, gap, per_chunk)
+        )
+    return kept.select(*keys, F.col("_id").alias(ident), F.timestamp_micros("_t").alias(ts))
+
+
+def _walked(source: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """One pass along each key in a sorted partition; batches arrive in order, so only the clock is carried."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, fold = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            codes = pdf[by]
+            changed = (codes != codes.shift()).any(axis=1).to_numpy()
+            changed[0] = key is None or tuple(codes.iloc[0]) != key
+            starts = np.flatnonzero(changed)
+            bounds = [*([] if changed[0] else [0]), *starts, len(pdf)]
+            t, take = pdf["_t"].to_numpy(), []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if changed[a]:
+                    fold = CooldownFold(gap)
+                take += fold.feed(t[a:b].tolist())
+            key = tuple(codes.iloc[-1])
+            yield pdf[take]
+
+    ordered = source.repartition(*by).sortWithinPartitions(*by, "_t", "_id")
+    return ordered.mapInPandas(walk, source.schema)
+
+
+def _chained(source: DataFrame, by: list[str], gap: int, per_chunk: int) -> DataFrame:
+    span = gap * per_chunk
     # One candidate per instant: rows behind the first of an instant can never be accepted.
     instants = (
-        source.select(*by, F.unix_micros(ts).alias("_t"), F.col(ident).alias("_id"))
-        .groupBy(*by, "_t").agg(F.min("_id").alias("_id"))
+        source.groupBy(*by, "_t").agg(F.min("_id").alias("_id"))
         .withColumn("_chunk", F.floor(F.col("_t") / span))
     )
     kinds = {f.name: f.dataType.simpleString() for f in instants.schema}
@@ -83,11 +123,10 @@ def accepted(
 
     reports = instants.groupBy(*by, "_chunk").applyInPandas(report, f"{typed}, _chunk long, _entry long, _exit long")
     entries = reports.groupBy(*by).applyInPandas(walk, f"{typed}, _chunk long, _entry long")
-    kept = (
+    return (
         instants.join(entries, [*by, "_chunk"])
         .groupBy(*by, "_chunk").applyInPandas(replay, f"{typed}, _t long, _id {kinds['_id']}")
     )
-    return kept.select(*keys, F.col("_id").alias(ident), F.timestamp_micros("_t").alias(ts))
 
 
 class CooldownFold:

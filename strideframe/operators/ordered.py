@@ -139,23 +139,20 @@ def carried(
     source = df.select("*", *[c.alias(f"_v_{n}") for n, c in held.items()])
     parts = chunked(source, keys, along, hot)
     span = Window.partitionBy(*keys, "_chunk") if hot is not None else Window.partitionBy(*keys)
-    span = span.orderBy(*order)
-    if forward:
-        span = span.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        pick, edge = F.last, F.max_by
-        outside = _before(keys)
-    else:
-        span = span.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        pick, edge = F.first, F.min_by
-        outside = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
-    out = parts.select("*", *[pick(f"_v_{n}", True).over(span).alias(n) for n in held])
+    # Backward runs over the reversed order: a growing frame costs one step per row, a shrinking one a whole pass.
+    span = span.orderBy(*order) if forward else span.orderBy(*[F.desc(o) for o in order])
+    span = span.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    outside = Window.partitionBy(*keys).orderBy("_chunk" if forward else F.desc("_chunk"))
+    outside = outside.rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.max_by if forward else F.min_by
+    out = parts.select("*", *[F.last(f"_v_{n}", True).over(span).alias(n) for n in held])
     if hot is not None:
         place = F.struct(*order)
         summary = (
             parts.where(F.col("_chunk") >= 0)
             .groupBy(*keys, "_chunk")
             .agg(*[edge(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_e_{n}") for n in held])
-            .select(*keys, "_chunk", *[pick(f"_e_{n}", True).over(outside).alias(f"_o_{n}") for n in held])
+            .select(*keys, "_chunk", *[F.last(f"_e_{n}", True).over(outside).alias(f"_o_{n}") for n in held])
         )
         out = out.join(summary, [*keys, "_chunk"], "left").withColumns(
             {n: F.coalesce(n, f"_o_{n}") for n in held}

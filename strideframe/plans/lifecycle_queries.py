@@ -199,7 +199,7 @@ FROM walk w JOIN falls f ON f.event_id = w.event_id WHERE w.take""",
 )
 def direct_alert_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     fell = falls(spark, sf).drop("notes").withColumn("notes", F.lit(None).cast("string"))
-    taken = cooldown.accepted(fell, ["user_id"], "ts", "event_id", 48 * 3600.0, per_chunk=8)
+    taken = cooldown.accepted(fell, ["user_id"], "ts", "event_id", 48 * 3600.0)
     out = lifecycle.direct_alert_text(fell.join(taken.select("event_id"), "event_id", "left_semi"))
     return out.select("event_id", "status", "alert_message", "log_message", "notes",
                       F.round("fall_probability", 6).alias("fall_probability"))
@@ -218,7 +218,7 @@ walk AS (
 SELECT event_id, ts FROM walk""",
 )
 def global_cooldown(spark: SparkSession, sf: str) -> DataFrame:
-    return cooldown.accepted(falls(spark, sf), [], "ts", "event_id", 3600.0, per_chunk=64)
+    return cooldown.accepted(falls(spark, sf), [], "ts", "event_id", 3600.0)
 
 
 _OUTCOME_MESSAGES = f"""WITH {OUTCOMES_SQL}
