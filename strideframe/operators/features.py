@@ -113,11 +113,8 @@ def _needs_arrays(columns: Sequence[str]) -> dict[str, list[str]]:
     return needed
 
 
-def time_features(
-    rows: DataFrame, group: Sequence[str], columns: Sequence[str], extra: dict[str, Column] | None = None
-) -> DataFrame:
-    """Aggregate prepared rows (``pos, n_samples``, signals, steps). ``extra`` aggregates must ignore repetition."""
-    extra = extra or {}
+def time_features(rows: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Aggregate prepared rows (``pos, n_samples``, signals, steps) to one row per group."""
     sources = {n: _source(n) for n in columns if n != "impact_ratio" and _source(n)[1] not in _ARRAY_STATS}
     pairs = dict.fromkeys(sources.values())
     if "impact_ratio" in columns:
@@ -128,31 +125,25 @@ def time_features(
         out = rows.groupBy(*group).agg(
             F.count(F.lit(1)).alias("_n"),
             *[_statistic(stat, F.col(sig), settled).alias(f"{sig}|{stat}") for sig, stat in pairs],
-            *[c.alias(n) for n, c in extra.items()],
         )
         value = {(sig, stat): F.col(f"{sig}|{stat}") for sig, stat in pairs}
     else:
         signals = sorted({sig for sig, _ in pairs})
         stats = list(dict.fromkeys(stat for _, stat in pairs))
         at = {sig: i for i, sig in enumerate(signals)}
-        used = {f for c in extra.values() for f in rows.columns if f in str(c)}
         long = rows.select(
-            *dict.fromkeys([*group, "pos", "n_samples", *sorted(used)]),
+            *dict.fromkeys([*group, "pos", "n_samples"]),
             F.inline(F.array(*[F.struct(F.lit(i).alias("_sig"), F.col(s).alias("_x")) for s, i in at.items()])),
         )
         per_signal = long.groupBy(*group, "_sig").agg(
-            *[_statistic(stat, F.col("_x"), settled).alias(stat) for stat in stats],
-            *[c.alias(n) for n, c in extra.items()],
-        )
-        out = per_signal.groupBy(*group).agg(
-            F.sort_array(F.collect_list(F.struct("_sig", *stats))).alias("_stats"),
-            *[F.first(n).alias(n) for n in extra],
+            *[_statistic(stat, F.col("_x"), settled).alias(stat) for stat in stats]
         )
+        out = per_signal.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_sig", *stats))).alias("_stats"))
         value = {(sig, stat): F.col("_stats").getItem(at[sig]).getField(stat) for sig, stat in pairs}
     made = {n: value[src] for n, src in sources.items()}
     if "impact_ratio" in columns:
         made["impact_ratio"] = value["acc_mag", "max"] / (value["acc_mag", "mean"] + 1e-5)
-    return out.select(*group, *extra, *[c.alias(n) for n, c in made.items()])
+    return out.select(*group, *[c.alias(n) for n, c in made.items()])
 
 
 def _median(values: Column) -> Column:
@@ -197,25 +188,23 @@ def stream_features(
     rule: WindowRule = PHONE_RULE,
     columns: Sequence[str] = tuple(S.FEATURE_COLUMNS),
     rate: float = S.SAMPLING_RATE,
-    extra: dict[str, Column] | None = None,
-    carry: Sequence[str] = (),
     limit: int = HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Features of every sliding window of every stream key: ``keys, win_end``, ``extra`` and the feature columns."""
+    """Features of every sliding window of every stream key: ``keys, win_end`` and the feature columns."""
     keys, columns = list(keys), list(columns)
-    base = df.select(*dict.fromkeys([*keys, *order, *S.AXES, *carry]))
+    base = df.select(*dict.fromkeys([*keys, *order, *S.AXES]))
     blocks = blocked(base, keys, order, along, rule, motion_steps(rate), limit, block_rows)
     group = [*keys, "block", "win_end"]
     parts = []
     timed = [c for c in columns if c == "impact_ratio" or _source(c)[1] not in _ARRAY_STATS]
-    if timed or extra:
+    if timed:
         rows = expanded(with_signals(blocks), rule, _STEPS).withColumn("n_samples", F.lit(rule.size))
-        parts.append(time_features(rows, group, timed, extra))
+        parts.append(time_features(rows, group, timed))
     if _needs_arrays(columns):
         parts.append(array_features(packed(blocks, keys, rule), group, columns, rate))
     out = parts[0] if len(parts) == 1 else parts[0].join(parts[1], group)
-    return out.select(*keys, "win_end", *(extra or {}), *columns)
+    return out.select(*keys, "win_end", *columns)
 
 
 def dataset_features(
