@@ -6,6 +6,7 @@ from strideframe.plans import (  # noqa: F401
     lifecycle_queries,
     quality_queries,
     sensor_queries,
+    source_queries,
     stream_queries,
 )
 from strideframe.plans.registry import CHECKS, QUERIES, Query

@@ -27,6 +27,10 @@ rates AS (
 scored AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2*precision*recall/(precision+recall) ELSE 0 END AS f1 FROM rates)"""
 
 
+METRICS_SQL = f"""{_REPORT} SELECT round(sum(hits) / CAST(sum(support) AS DOUBLE), 6) AS accuracy,
+  round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM scored"""
+
+
 def _r(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[
         F.round(f.name, places).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name)

@@ -367,7 +367,7 @@ def window_messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_DATASET = Q.NUMBERED + """,
+DATASET_SQL = Q.NUMBERED + """,
 ds AS (
   SELECT *, device_id || '_' || ((rn - 1) // 128) AS window_id, (rn - 1) % 128 AS step, (rn - 1) % 128 + 1 AS pos FROM s
 )"""
@@ -387,7 +387,7 @@ def dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dataset_window_features",
-    f"""WITH {_DATASET}{Q.stepped("window_id", "ds")}{Q.spectral_any(S.CHANNELS, "window_id", "ds")},
+    f"""WITH {DATASET_SQL}{Q.stepped("window_id", "ds")}{Q.spectral_any(S.CHANNELS, "window_id", "ds")},
 wide AS (
   SELECT window_id, {", ".join(
       f"max({s}) FILTER (WHERE channel = '{c}') AS {c}_{s}" for c in S.CHANNELS for s in S.SPECTRAL_STATS
