@@ -159,7 +159,8 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "label_codes",
-    "SELECT activity, row_number() OVER (ORDER BY activity) - 1 AS code FROM (SELECT DISTINCT strftime(l_shipdate, '%Y') AS activity FROM lineitem)",
+    "SELECT activity, row_number() OVER (ORDER BY activity) - 1 AS code"
+    " FROM (SELECT DISTINCT strftime(l_shipdate, '%Y') AS activity FROM lineitem)",
 )
 def label_codes(spark: SparkSession, sf: str) -> DataFrame:
     years = table(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy").alias("activity"))

@@ -434,22 +434,23 @@ def matrix_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "window_requests",
-    f"""WITH {Q.RAW},
-g AS (SELECT device_id, year(ts) AS y, month(ts) AS m, count(*) AS n, count(*) FILTER (WHERE seq_b <> 7) AS short
-  FROM samples GROUP BY ALL)
+    f"""WITH {Q.NUMBERED},
+g AS (SELECT device_id, (rn - 1) // 12 AS part, count(*) AS n, count(*) FILTER (WHERE seq_b <> 7) AS short
+  FROM s GROUP BY ALL)
 SELECT reject_reason, count(*) AS n FROM (
   SELECT CASE WHEN short <> n THEN 'All 6 accelerometer and gyroscope arrays must have identical length.'
     WHEN n < 8 THEN 'Window requires at least 8 samples, got ' || n || '.' END AS reject_reason FROM g)
 GROUP BY reject_reason""",
 )
 def window_requests(spark: SparkSession, sf: str) -> DataFrame:
-    # One request per device and month, its last axis missing the samples of line 7.
-    month = [F.year("ts").alias("y"), F.month("ts").alias("m")]
+    # Requests of twelve samples, the last of a device shorter; the last axis misses the samples of line 7.
+    counted = ordered.numbered(samples(spark, sf), KEYS, SENSOR_ORDER, sensor_along())
     lists = [F.collect_list(a).alias(a) for a in S.AXES[:5]]
     lists.append(F.collect_list(F.when(F.col("seq_b") != 7, F.col("gyro_z"))).alias("gyro_z"))
-    grouped = samples(spark, sf).groupBy("device_id", *month).agg(*lists)
-    text = grouped.select(F.to_json(F.struct(*S.AXES, F.col("device_id").cast("string").alias("device_id"))).alias("value"))
-    return readers.parse_window_requests(text).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+    grouped = counted.groupBy("device_id", F.floor((F.col("rn") - 1) / 12).alias("part")).agg(*lists)
+    body = F.struct(*S.AXES, F.col("device_id").cast("string").alias("device_id"))
+    requests = readers.parse_window_requests(grouped.select(F.to_json(body).alias("value")))
+    return requests.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

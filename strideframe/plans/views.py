@@ -12,7 +12,8 @@ SENSOR_ORDER = ["ts", "seq_a", "seq_b", "seq_c"]
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     # The files hold TIMESTAMP_NTZ; watermarks and unix_micros need TIMESTAMP (session time zone UTC).
-    return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema if "timestamp" in f.dataType.simpleString()})
+    times = [f.name for f in df.schema if f.dataType.simpleString().startswith("timestamp")]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else df
 
 
 def sensor_along() -> Column:
