@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import decontamination
+from strideframe.llm import bpe, decontamination, language
 from strideframe.llm.stages import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,8 +15,16 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.digest(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.digest(documents(spark, sf))
+
+
+def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digest(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination,)}
+    return {f.__name__: f for f in (op1_decontamination, op9_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
