@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm.stages import fold, fresh, with_column
 
-MOST_DOCS = 1500
+MOST_DOCS = 1000
 MOST_LANGUAGES = 1000
 WORDS = 60_000
 GRAMS = 30_000
@@ -34,8 +34,11 @@ EVIDENCE = 12
 UNKNOWN = "und"
 _SCALE = math.log(10)
 _WORD = re.compile(r"[^\W\d_]+")
-_KEPT = 200_000
+#: Unseen words that a worker keeps, in each of two generations.
+_KEPT = 150_000
 _CHARS = 1 << 20
+#: n-grams are learnt from so many characters of a word; longer ones are no words of a language.
+_WORD_CHARS = 64
 
 
 def _counted(text: str, counts: Counter) -> None:
@@ -50,9 +53,38 @@ def _counted(text: str, counts: Counter) -> None:
         at = end
 
 
-def grams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+def _rows(made: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
+    for (lang, n), counts in made.items():
+        size = len(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * size, pa.string()), pa.array([n] * size, pa.int32()),
+             pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "n", "entry", "k"],
+        )
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of the words of each language, summed within the task."""
+    made: dict[tuple[str, int], Counter] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1)):
+            _counted(text.as_py() or "", made.setdefault((lang.as_py(), 0), Counter()))
+            if sum(map(len, made.values())) > 300_000:
+                yield from _rows(made)
+                made = {}
+    yield from _rows(made)
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each language in which an n-gram occurs: each distinct word counts once per place, being a type."""
+    for batch in batches:
+        made: dict[tuple[str, int], Counter] = {}
+        for lang, word in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            padded = f" {word[:_WORD_CHARS]} "
+            for n in range(1, LONGEST + 1):
+                made.setdefault((lang, n), Counter()).update([padded[i : i + n] for i in range(len(padded) - n + 1)])
+        for counts in made.values():
+            del counts[" "]
+        yield from _rows(made)
 
 
 class Model:
@@ -61,56 +93,59 @@ class Model:
     def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]], totals: list[np.ndarray]):
         self.languages = languages
         self.rows: list[dict[str, int]] = []
-        self.values: list[np.ndarray] = []
+        parts, at = [], 0
         for table, total in zip(tables, totals):
             entries = sorted(table)
-            self.rows.append({e: i for i, e in enumerate(entries)})
+            self.rows.append({e: at + i for i, e in enumerate(entries)})
             counts = np.array([table[e] for e in entries], float).reshape(len(entries), len(languages))
             known = np.maximum(total, 1.0)
             floor = -np.log10(known) - PENALTY
-            self.values.append(np.where(counts > 0, np.log10(np.maximum(counts, 1.0) / known), floor))
-        self.kept: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray | None:
-        """The value of a word that is not in the table of words; None if no part of it is known."""
-        if word in self.kept:
-            return self.kept[word]
-        value = None
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            rows = self.rows[n]
-            at = [rows[g] for g in grams(word, n) if g in rows and not g.isspace()]
-            if at:
-                value = self.values[n][at].mean(0)
-                break
-        if len(self.kept) >= _KEPT:
-            self.kept.clear()
+            parts.append(np.where(counts > 0, np.log10(np.maximum(counts, 1.0) / known), floor))
+            at += len(entries)
+        self.values = np.concatenate(parts)
+        self.kept: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
+
+    def unseen(self, word: str) -> list[int]:
+        """The n-grams that stand for a word outside the table of words: rows of ``values``; none if all are unknown."""
+        found = self.kept.get(word)
+        if found is not None:
+            return found
+        found = self.before.get(word)
+        if found is None:
+            padded, found = f" {word} ", []
+            for n in range(min(LONGEST, len(padded)), 0, -1):
+                rows = self.rows[n]
+                found = [rows[g] for g in [padded[i : i + n] for i in range(len(padded) - n + 1)] if g in rows]
+                if found:
+                    break
         if len(word) <= 64:
-            self.kept[word] = value
-        return value
+            if len(self.kept) >= _KEPT:
+                self.kept, self.before = {}, self.kept
+            self.kept[word] = found
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         counts: Counter = Counter()
         _counted(text, counts)
-        words, total, n = self.rows[0], np.zeros(len(self.languages)), 0
-        at, times = [], []
-        for word, k in counts.items():
-            row = words.get(word)
-            if row is not None:
-                at.append(row)
-                times.append(k)
-            else:
-                value = self.unseen(word)
-                if value is not None:
-                    total += value * k
-                    n += k
-        if at:
-            total += np.array(times) @ self.values[0][at]
-            n += sum(times)
+        row_of = self.rows[0].get
+        rows, times = [row_of(w, -1) for w in counts], list(counts.values())
+        n = sum(times)
+        if -1 in rows:
+            for i, word in enumerate(counts):
+                if rows[i] < 0:
+                    some, k = self.unseen(word), times[i]
+                    if some:
+                        rows += some
+                        times += [k / len(some)] * len(some)
+                    else:
+                        n -= k
+                    rows[i] = times[i] = 0
         if n == 0:  # letters, but none of which any language has a trace
             return self.languages[0], 1.0 / len(self.languages)
-        mean = total / n * (_SCALE * min(n, EVIDENCE))
+        mean = np.array(times, float) @ self.values[rows] / n * (_SCALE * min(n, EVIDENCE))
         share = np.exp(mean - mean.max())
         best = int(np.argmax(mean))
         return self.languages[best], float(share[best] / share.sum())
@@ -130,35 +165,11 @@ def fit(docs: DataFrame, usable: Column, *, text_col: str = "text", lang_col: st
     ])
     sample = labelled.where(F.pmod(F.xxhash64(F.col("id"), F.lit(31)), F.lit(1_000_000)) < share)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-
-        def rows() -> pa.RecordBatch:
-            made: Counter = Counter()
-            for lang, own in words.items():
-                for word, k in own.items():
-                    if len(word) <= 64:
-                        made[lang, 0, word] += k
-                    for n in range(1, LONGEST + 1):
-                        for g in grams(word, n):
-                            if not g.isspace():
-                                made[lang, n, g] += k
-            langs, sizes, entries = zip(*made) if made else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(entries, pa.string()),
-                 pa.array(made.values(), pa.int64())], names=["lang", "n", "entry", "k"],
-            )
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                _counted(text.as_py() or "", words.setdefault(lang.as_py(), Counter()))
-                if sum(map(len, words.values())) > 100_000:
-                    yield rows()
-                    words.clear()
-        yield rows()
-
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, n int, entry string, k long")
-    per = counted.groupBy("n", "entry", "lang").agg(F.sum("k").alias("k"))
+    kinds = "lang string, n int, entry string, k long"
+    words = sample.select("lang", "text").mapInArrow(_word_counts, kinds)
+    words = words.groupBy("lang", "n", "entry").agg(F.sum("k").alias("k")).persist()
+    parts = words.mapInArrow(_gram_counts, kinds).groupBy("lang", "n", "entry").agg(F.sum("k").alias("k"))
+    per = words.unionByName(parts)
     whole = per.groupBy("n", "entry").agg(
         F.sum("k").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "k"))).alias("by")
     ).where("all > 1 OR n > 0")
@@ -178,6 +189,7 @@ def fit(docs: DataFrame, usable: Column, *, text_col: str = "text", lang_col: st
                 row[place[lang]] = k
         tables.append(table)
     whole.unpersist()
+    words.unpersist()
     return Model(languages, tables, totals)
 
 
