@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import bpe, decontamination, language
+from strideframe.llm import bpe, decontamination, language, token_files
 from strideframe.llm.stages import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.digest(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.digest(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.digest(documents(spark, sf))
 
@@ -24,7 +28,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op9_language, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op5_token_files, op9_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,26 +11,26 @@ from strideframe.session import shared_dir
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-class Scratch:
-    """Tables of one run below ``spark.checkpoint.dir``; they cut lineage and survive lost executors.
+def save(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` and read it again. Spark removes the shuffle files of the job, which nothing can use any more."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    The shuffle files of the job that writes a table are of no use afterwards, so Spark is told to remove them.
-    """
+class Scratch:
+    """Tables of one run below ``spark.checkpoint.dir``; they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
-            df.write.parquet(f"{self.root}/{name}")
-        finally:
-            if before is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        return save(df, f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""

@@ -84,12 +84,17 @@ def slabs(column: pa.Array, limit: int = _SLAB) -> Iterator[tuple[int, int, np.n
 class WordSlab:
     """Words of the documents of a slab: byte bounds, hashes, and per document the range of its words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: np.ndarray):
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: np.ndarray, cuts: np.ndarray | None = None
+    ):
+        """``cuts``: further places, ascending, where one word ends and another begins."""
         self.data, self.lower = data, lower
         values = _BYTE_VALUES[lower]
         starts, ends, hashes = [], [], []
         cut = 0
         bounds = offsets[:-1][offsets[:-1] < offsets[1:]]
+        if cuts is not None:
+            bounds = np.union1d(bounds, cuts)
         word = inside[data]
         while cut < len(data):
             stop = min(cut + _PIECE, len(data))
