@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, decontamination, language, token_files
+from strideframe.llm import bpe, decontamination, language, nearest, token_counts, token_files
 from strideframe.llm.stages import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,14 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.digest(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op6_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.digest(documents(spark, sf))
 
@@ -28,8 +37,8 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op5_token_files, op9_language, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op5_token_files, op6_nearest, op7_token_counts, op9_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op6_nearest": nearest.SQL}
