@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, decontamination, language, nearest, token_counts, token_files
+from strideframe.llm import bpe, decontamination, language, nearest, personal, secrets, token_counts, token_files
 from strideframe.llm.stages import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.digest(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return secrets.scan(docs, secrets.fit(docs))
+
+
 def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.digest(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), 2)
 
@@ -28,6 +33,10 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.digest(documents(spark, sf))
+
+
 def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.digest(documents(spark, sf))
 
@@ -37,7 +46,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op5_token_files, op6_nearest, op7_token_counts, op9_language, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secrets, op5_token_files, op6_nearest, op7_token_counts, op8_personal_data, op9_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
