@@ -68,3 +68,11 @@ def thinned(df: DataFrame, key: Column, most: int) -> DataFrame:
     if n <= most:
         return df
     return df.where(F.pmod(F.xxhash64(key, F.lit(977)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+
+
+#: A side of a join with at most so many rows of a few numbers is sent to all executors; a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
