@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, decontamination, language, nearest, passages, personal, secrets, token_counts, token_files
+from strideframe.llm import bpe, decontamination, language, nearest, passages, personal, secrets, similar, token_counts, token_files
 from strideframe.llm.stages import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
+def op3_similar(spark: SparkSession, sf: str) -> DataFrame:
+    return similar.digest(documents(spark, sf))
+
+
 def op4_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.digest(documents(spark, sf))
 
@@ -50,8 +54,8 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secrets, op4_passages, op5_token_files, op6_nearest, op7_token_counts, op8_personal_data, op9_language, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_similar, op4_passages, op5_token_files, op6_nearest, op7_token_counts, op8_personal_data, op9_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL, "op4_passages": passages.SQL, "op6_nearest": nearest.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op3_similar": similar.SQL, "op4_passages": passages.SQL, "op6_nearest": nearest.SQL}
