@@ -22,6 +22,7 @@ shingle are one shingle.
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from strideframe.llm.stages import Scratch, sized
 
 SIZE = 5
 #: (sets above this size, share of the hash space that is counted). A band ends at 4/3 of the next one's start.
-BANDS = ((0, 1.0), (120, 0.56), (500, 0.36))
+BANDS = ((0, 1.0), (60, 0.56), (180, 0.38))
 CELL = 4096
 _BLOCK = 64
 
@@ -169,30 +170,31 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(base: DataFrame, scratch: Scratch) -> DataFrame:
-    """``band, token, row, n, at``: the shared shingles in the prefixes of all sets that may have a partner. ``base``
-    holds one row per class."""
-    parts = [
-        base.where(F.size(f"l{b}") + F.size(f"m{b}") > 0).select(
-            F.lit(b).alias("band"), "row", "n", F.size(f"l{b}").alias("k"),
-            F.explode(F.concat(
-                F.transform(f"l{b}", lambda t: F.struct(t.alias("token"), F.lit(0).alias("beyond"))),
-                F.transform(f"m{b}", lambda t: F.struct(t.alias("token"), F.lit(1).alias("beyond"))),
-            )).alias("s"),
+    """``token, row, n, at``: the shared shingles in the prefixes of all sets that may have a partner. A token is a
+    shingle and a band in one number. ``base`` holds one row per class."""
+
+    def tokens(b: int) -> DataFrame:
+        salt = F.lit((b * 0x1E3779B97F4A7C15) % (1 << 63))
+        owner = F.col("row") * 8 + 2 * b  # row, band, and whether the shingle lies beyond the counted part
+        own = F.concat(
+            F.transform(f"l{b}", lambda t: F.struct(t.bitwiseXOR(salt).alias("token"), owner.alias("owner"))),
+            F.transform(f"m{b}", lambda t: F.struct(t.bitwiseXOR(salt).alias("token"), (owner + 1).alias("owner"))),
         )
-        for b in range(len(BANDS))
-    ]
-    tokens = parts[0]
-    for p in parts[1:]:
-        tokens = tokens.unionByName(p)
-    tokens = scratch.keep(tokens.select("band", "row", "n", "k", "s.token", "s.beyond"), "tokens")
-    shared = scratch.keep(
-        tokens.groupBy("band", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared"
-    )
-    hits = tokens.join(shared, ["band", "token"])
-    per = hits.groupBy("band", "row").agg(
-        F.first("n").alias("n"), F.first("k").alias("k"), F.count(F.when(F.col("beyond") == 0, 1)).alias("found"),
+        return base.where(F.size(f"l{b}") + F.size(f"m{b}") > 0).select(F.explode(own).alias("s")).select("s.*")
+
+    every = reduce(DataFrame.unionByName, [tokens(b) for b in range(len(BANDS))])
+    shared = scratch.keep(every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    hits = every.join(shared, "token").withColumn("beyond", F.col("owner") % 2)
+    per = hits.groupBy(F.expr("owner div 2").alias("set")).agg(
+        F.count(F.when(F.col("beyond") == 0, 1)).alias("found"),
         F.sort_array(F.collect_list(F.struct("beyond", "df", "token"))).alias("order"),
     )
+    per = scratch.keep(per, "found")
+    counted = F.array(*[F.size(f"l{b}").cast("long") for b in range(len(BANDS))])
+    sizes = base.select("row", "n", counted.alias("counted"))
+    per = per.withColumn("row", F.expr("set div 4")).join(sizes, "row").withColumn(
+        "k", F.element_at("counted", (F.col("set") % 4 + 1).cast("int"))
+    )
     spare = F.col("n") - F.ceil(F.col("n") * 3 / 4)  # a linked set may lack so many
     single = F.col("k") - F.col("found")
     per = per.where(single <= spare).withColumns({"single": single, "slots": spare + 1 - single})
@@ -200,12 +202,12 @@ def _postings(base: DataFrame, scratch: Scratch) -> DataFrame:
     inside = F.filter("order", lambda s: s["beyond"] == 0)
     beyond = F.filter("order", lambda s: s["beyond"] == 1)
     chosen = per.select(
-        "band", "row", "n", "k", "single",
+        "row", "n", "k", "single",
         F.posexplode(F.concat(F.slice(inside, F.lit(1), F.greatest("slots", F.lit(0)).cast("int")), beyond)).alias("i", "s"),
     )
     at = F.when(F.col("s.beyond") == 1, F.col("k")).otherwise(F.col("single") + F.col("i"))
-    made = scratch.keep(chosen.select("band", F.col("s.token").alias("token"), "row", "n", at.cast("long").alias("at")), "postings")
-    scratch.drop("tokens", "shared")
+    made = scratch.keep(chosen.select(F.col("s.token").alias("token"), "row", "n", at.cast("long").alias("at")), "postings")
+    scratch.drop("shared", "found")
     return made
 
 
@@ -232,15 +234,15 @@ def links(docs: DataFrame, scratch: Scratch, size: int = SIZE, *, id_col: str =
     postings = _postings(base.join(firsts, "row", "left_semi"), scratch)
     scratch.drop("sketches", "classes")
 
-    summary = postings.groupBy("band", "token").agg(
+    summary = postings.groupBy("token").agg(
         F.min(F.struct("row", "n", "at")).alias("pivot"), F.count(F.lit(1)).alias("members")
     ).where("members > 1")
     lists_ = scratch.keep(
-        summary.select("band", "token", "members", "pivot.row", "pivot.n", "pivot.at").withColumnsRenamed(
+        summary.select("token", "members", "pivot.row", "pivot.n", "pivot.at").withColumnsRenamed(
             {"row": "p", "n": "pn", "at": "pat"}
         ), "lists",
     )
-    members = scratch.keep(postings.join(lists_, ["band", "token"]), "members")
+    members = scratch.keep(postings.join(lists_, "token"), "members")
     scratch.drop("postings")
     needed = scratch.keep(members.select("row").distinct().join(everyone.select("row", "doc_id", "key"), "row"), "needed")
     whole = scratch.keep(_elements(source, needed, size), "elements")
@@ -260,13 +262,13 @@ def links(docs: DataFrame, scratch: Scratch, size: int = SIZE, *, id_col: str =
         "linked": F.coalesce(7 * F.col("common") >= 3 * union, F.lit(False)),
         "near": F.coalesce(distance, sizes), "far": F.coalesce(distance, F.lit(1.0)),
     })
-    open_lists = placed.groupBy("band", "token").agg(F.count(F.when(~F.col("linked"), 1)).alias("open")).where("open > 0")
+    open_lists = placed.groupBy("token").agg(F.count(F.when(~F.col("linked"), 1)).alias("open")).where("open > 0")
     cells = F.ceil(F.col("members") / CELL).cast("int")
     chunk = F.pmod(F.xxhash64("row"), cells).cast("int")
-    spread = placed.join(open_lists, ["band", "token"], "left_semi").withColumns({"cells": cells, "side": chunk}).withColumn(
+    spread = placed.join(open_lists, "token", "left_semi").withColumns({"cells": cells, "side": chunk}).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
     )
-    cell = F.xxhash64("band", "token", F.least("side", "other"), F.greatest("side", "other"))
+    cell = F.xxhash64("token", F.least("side", "other"), F.greatest("side", "other"))
     spread = spread.select(
         cell.alias("cell"), "row", "n", (F.col("n") - F.col("at")).alias("rest"), "linked", "near", "far", "side"
     )
