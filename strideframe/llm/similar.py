@@ -3,17 +3,19 @@
 The classes of equal sets are joined, not the documents. A set's shingles are ordered rare first; two sets can only link
 if their prefixes in that order meet. Two relations between sets save work:
 
-* Index level. The list of a shingle is ordered by set size and cut into blocks that know the most elements any of their
-  sets has left behind its place. A probe skips sizes that cannot reach the threshold, whole blocks whose best place
-  leaves too few common elements, and then single entries.
-* Answer level. Every list has a pivot, and each member is first verified against the pivot of its lists. Members linked
-  to the pivot are connected and are not compared with each other. The others are compared only where the pivot's
-  answers leave it open: Jaccard distance is a metric, so the distance of two members is at least the difference of
-  their distances to the pivot. A list whose members are all linked to its pivot is done.
+* Answer level. Every list has a pivot: the set with the fewest shingles of its own, which in a group of edited copies
+  is the text that they were made from, or close to it. Each member is first verified against the pivots of its lists.
+  Members linked to a pivot are connected and are not compared with each other; a pivot all of whose members are linked
+  is done. The others are compared with the members of the same pivot, and their common elements with a set that is
+  highly similar to the pivot are derived from their common elements with the pivot and the few differences.
+* Index level. In these comparisons the list of a shingle is ordered by set size and cut into blocks that know the most
+  elements any of their sets has from the shingle on. A probe skips sizes that cannot reach the threshold, whole blocks
+  whose best place leaves too few common elements, and then single entries.
 
 Document frequencies are counted over all sets, but only for shingles in the lower part of the hash space, a share that
 shrinks with set size (bands of sizes overlap, so two sets that may link share a band). A set goes on if enough of those
-shingles occur elsewhere. Shingles hold 64-bit hashes. Lists are cut into cells of bounded size; no list is collected.
+shingles occur elsewhere. Shingles hold 64-bit hashes. The members of a pivot are cut
+into chunks of bounded size, and pairs of chunks are compared; no group is collected.
 
 Defined cases: documents without words link with nothing and are their own component; NULL ids count as largest when a
 component is named, so that it gets the smallest id there is; rows with equal ids keep their own row; fewer words than a
@@ -36,7 +38,8 @@ from strideframe.llm.stages import Scratch, sized
 SIZE = 5
 #: (sets above this size, share of the hash space that is counted). A band ends at 4/3 of the next one's start.
 BANDS = ((0, 1.0), (60, 0.56), (180, 0.38))
-CELL = 4096
+#: Elements of the sets of one chunk of a pivot's members; a task holds two chunks.
+CELL = 400_000
 _BLOCK = 64
 
 
@@ -115,62 +118,134 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _probed(n: np.ndarray, rest: np.ndarray, linked: np.ndarray, near: np.ndarray, far: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(member, partners) of a cell that is ordered by size. ``rest``: elements from the shared one on; ``near`` and
-    ``far``: bounds of the distance to the pivot; ``side``: chunk of the list, compared with the other chunk only
-    unless the cell has just one."""
-    one = side.min() == side.max()
-    starts = np.arange(0, len(n), _BLOCK)
-    best = np.maximum.reduceat(rest, starts)
-    for i in range(len(n)):
-        lo, hi = i + 1, int(np.searchsorted(n, 4 * n[i] // 3, "right"))
-        if lo >= hi:
-            continue
-        need = -(-3 * (n[i] + n[np.minimum(starts, len(n) - 1)]) // 7)
-        blocks = np.flatnonzero((np.minimum(rest[i], best) >= need)[lo // _BLOCK : (hi - 1) // _BLOCK + 1]) + lo // _BLOCK
-        for k in blocks.tolist():
-            j = np.arange(max(lo, k * _BLOCK), min(hi, (k + 1) * _BLOCK))
-            ok = 7 * np.minimum(rest[i], rest[j]) >= 3 * (n[i] + n[j])
-            ok &= ~(linked[i] & linked[j])
-            ok &= (near[i] - far[j] <= 0.25 + 1e-9) & (near[j] - far[i] <= 0.25 + 1e-9)
-            if not one:
-                ok &= side[i] != side[j]
-            if ok.any():
-                yield i, j[ok]
-
-
-def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open pairs of every cell; the rows of a cell follow each other, ordered by size."""
-    names = ("cell", "row", "n", "rest", "linked", "near", "far", "side")
-    held: list[dict[str, np.ndarray]] = []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        own = {c: np.concatenate([h[c] for h in held]) for c in names[1:]}
+class _Cell:
+    """Some members of the lists of one pivot, with their whole sets, ordered by size."""
+
+    def __init__(self, rows, sizes, linked, side, pivot, sets_: list[np.ndarray]):
+        self.rows, self.n, self.linked, self.side = rows, sizes, linked, side
+        self.parent = list(range(len(rows)))
+        _, which, counts = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))  # rare first
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        elements = rank[which]
+        self.elements = elements[np.lexsort((elements, owner))]
+        self.first = np.r_[0, np.cumsum(sizes)]
+        self.mark = np.zeros(len(counts), bool)
+        self._index(owner, np.sort(counts))
+        # How the sets that are linked to the pivot differ from it.
+        self.pivot = int(np.flatnonzero(pivot)[0])
+        self.mark[self._set(self.pivot)] = True
+        self.less, self.more = {}, {}
+        for i in np.flatnonzero(linked).tolist():
+            own = self._set(i)
+            self.more[i] = own[~self.mark[own]]
+            own = np.zeros(0, np.int64) if i == self.pivot else own
+            self.less[i] = np.setdiff1d(self._set(self.pivot), own, True) if i != self.pivot else own
+            self.parent[i] = self.pivot
+        self.mark[:] = False
+
+    def _set(self, i: int) -> np.ndarray:
+        return self.elements[self.first[i] : self.first[i + 1]]
+
+    def _index(self, owner: np.ndarray, counts: np.ndarray) -> None:
+        """Per element the members that have it in their prefix, by size, with the number of elements from it on."""
+        at = np.arange(len(self.elements)) - self.first[owner]
+        size = self.n[owner]
+        use = (at <= size - -(-3 * size // 4)) & (counts[self.elements] > 1)
+        keys, members, rest = self.elements[use], owner[use], (size - at)[use]
+        order = np.lexsort((members, keys))
+        self.keys, self.members, self.rest = keys[order], members[order], rest[order]
+        self.ends = np.searchsorted(self.keys, np.arange(len(self.mark) + 1))
+
+    def _candidates(self, u: int) -> np.ndarray:
+        """Members whose lists do not rule them out, by blocks and then by entries."""
+        n, own, found = int(self.n[u]), self._set(u), []
+        for at, w in enumerate(own[: n - least_common(n) + 1].tolist()):
+            lo, hi = int(self.ends[w]), int(self.ends[w + 1])
+            if hi - lo < 2:
+                continue
+            sizes = self.n[self.members[lo:hi]]
+            hi = lo + int(np.searchsorted(sizes, 4 * n // 3, "right"))
+            lo += int(np.searchsorted(sizes, least_common(n)))
+            if lo >= hi:
+                continue
+            heads = np.arange(lo, hi, _BLOCK)
+            best = np.minimum(np.maximum.reduceat(self.rest[lo:hi], heads - lo), n - at)
+            for h in heads[7 * best >= 3 * (n + self.n[self.members[heads]])].tolist():
+                some = slice(h, min(h + _BLOCK, hi))
+                x = self.members[some]
+                found.append(x[7 * np.minimum(self.rest[some], n - at) >= 3 * (n + self.n[x])])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def _root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def _common(self, xs: list[int], with_pivot: int) -> np.ndarray:
+        """Common elements of the marked set with others: from the pivot's number and the differences, or counted."""
+        parts, signs, base = [], [], []
+        for x in xs:
+            near = x in self.less
+            parts += [self.more[x], self.less[x]] if near else [self._set(x), self._set(x)[:0]]
+            base.append(with_pivot if near else 0)
+        sums = np.r_[0, np.cumsum(self.mark[np.concatenate(parts)])][np.cumsum([0, *map(len, parts)])]
+        steps = np.diff(sums)
+        return np.array(base) + steps[::2] - steps[1::2]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Links that connect what the pivot's answers and earlier links leave apart."""
+        both = self.side.min() != self.side.max()
+        for u in np.flatnonzero(~self.linked).tolist():
+            xs = self._candidates(u)
+            keep = (xs != u) & (self.linked[xs] | (xs < u))
+            if both:
+                keep &= self.side[xs] != self.side[u]
+            xs = xs[keep].tolist()
+            if not xs:
+                continue
+            self.mark[self._set(u)] = True
+            with_pivot = int(self.mark[self._set(self.pivot)].sum())
+            for lo in range(0, len(xs), 256):
+                part = [x for x in xs[lo : lo + 256] if self._root(x) != self._root(u)]
+                if part:
+                    for x, c in zip(part, self._common(part, with_pivot).tolist()):
+                        if 7 * c >= 3 * int(self.n[u] + self.n[x]) and self._root(x) != self._root(u):
+                            self.parent[self._root(u)] = self._root(x)
+                            yield int(self.rows[u]), int(self.rows[x])
+            self.mark[self._set(u)] = False
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within every cell; the rows of a cell follow each other, ordered by size."""
+    names = ("cell", "row", "n", "linked", "side", "pivot")
+    held: list[tuple[dict[str, np.ndarray], list[np.ndarray]]] = []
+
+    def close() -> pa.RecordBatch:
+        own = [np.concatenate([h[c] for h, _ in held]) for c in names[1:]]
+        found = list(_Cell(*own, [x for _, sets_ in held for x in sets_]).links())
         held.clear()
-        left, right = [], []
-        for i, j in _probed(*(own[c] for c in names[2:])):
-            left.append(np.full(len(j), own["row"][i]))
-            right.append(own["row"][j])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     current = None
     for batch in batches:
         columns = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
         cell = columns["cell"]
         edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, int)
-        for a, b in zip(edges, np.r_[edges[1:], len(cell)]):
+        for a, b in zip(edges.tolist(), np.r_[edges[1:], len(cell)].tolist()):
             if held and cell[a] != current:
-                yield from close()
+                yield close()
             current = cell[a]
-            held.append({c: v[a:b] for c, v in columns.items()})
+            sets_ = [np.frombuffer(x.as_buffer(), W.U64) for x in batch.column(6).slice(a, b - a)]
+            held.append(({c: v[a:b] for c, v in columns.items()}, sets_))
     if held:
-        yield from close()
+        yield close()
 
 
 def _postings(base: DataFrame, scratch: Scratch) -> DataFrame:
-    """``token, row, n, at``: the shared shingles in the prefixes of all sets that may have a partner. A token is a
+    """``token, row, n, single, at``: the shared shingles in the prefixes of all sets that may have a partner. A token is a
     shingle and a band in one number. ``base`` holds one row per class."""
 
     def tokens(b: int) -> DataFrame:
@@ -206,7 +281,9 @@ def _postings(base: DataFrame, scratch: Scratch) -> DataFrame:
         F.posexplode(F.concat(F.slice(inside, F.lit(1), F.greatest("slots", F.lit(0)).cast("int")), beyond)).alias("i", "s"),
     )
     at = F.when(F.col("s.beyond") == 1, F.col("k")).otherwise(F.col("single") + F.col("i"))
-    made = scratch.keep(chosen.select(F.col("s.token").alias("token"), "row", "n", at.cast("long").alias("at")), "postings")
+    made = scratch.keep(
+        chosen.select(F.col("s.token").alias("token"), "row", "n", "single", at.cast("long").alias("at")), "postings"
+    )
     scratch.drop("shared", "found")
     return made
 
@@ -235,7 +312,7 @@ def links(docs: DataFrame, scratch: Scratch, size: int = SIZE, *, id_col: str =
     scratch.drop("sketches", "classes")
 
     summary = postings.groupBy("token").agg(
-        F.min(F.struct("row", "n", "at")).alias("pivot"), F.count(F.lit(1)).alias("members")
+        F.min(F.struct("single", "row", "n", "at")).alias("pivot"), F.count(F.lit(1)).alias("members")
     ).where("members > 1")
     lists_ = scratch.keep(
         summary.select("token", "members", "pivot.row", "pivot.n", "pivot.at").withColumnsRenamed(
@@ -252,32 +329,30 @@ def links(docs: DataFrame, scratch: Scratch, size: int = SIZE, *, id_col: str =
     first_pairs = members.where((F.col("row") != F.col("p")) & possible).select(F.col("p").alias("a"), F.col("row").alias("b"))
     seen = scratch.keep(_verified(first_pairs.distinct(), whole), "with-pivots")
 
-    # What the pivots' answers leave open.
-    known = seen.select(F.col("a").alias("p"), F.col("b").alias("row"), "common")
-    placed = members.join(known, ["p", "row"], "left").where("row <> p")
-    union = F.col("n") + F.col("pn")
-    distance = 1 - F.col("common") / (union - F.col("common"))
-    sizes = 1 - least / F.greatest("n", "pn")  # the least distance of sets of these sizes, for pairs not verified
-    placed = placed.withColumns({
-        "linked": F.coalesce(7 * F.col("common") >= 3 * union, F.lit(False)),
-        "near": F.coalesce(distance, sizes), "far": F.coalesce(distance, F.lit(1.0)),
-    })
-    open_lists = placed.groupBy("token").agg(F.count(F.when(~F.col("linked"), 1)).alias("open")).where("open > 0")
-    cells = F.ceil(F.col("members") / CELL).cast("int")
-    chunk = F.pmod(F.xxhash64("row"), cells).cast("int")
-    spread = placed.join(open_lists, "token", "left_semi").withColumns({"cells": cells, "side": chunk}).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    # What the pivots' answers leave open: pairs of members of one pivot's lists that are not both linked to it.
+    linked = seen.where(_linked()).select(F.col("a").alias("p"), F.col("b").alias("row"), F.lit(True).alias("linked"))
+    placed = members.select("p", "row", "n").distinct().join(linked, ["p", "row"], "left").select(
+        "p", "row", "n", F.coalesce("linked", F.col("row") == F.col("p")).alias("linked")
     )
-    cell = F.xxhash64("token", F.least("side", "other"), F.greatest("side", "other"))
-    spread = spread.select(
-        cell.alias("cell"), "row", "n", (F.col("n") - F.col("at")).alias("rest"), "linked", "near", "far", "side"
+    placed = scratch.keep(placed, "placed")
+    groups = placed.groupBy("p").agg(
+        F.count(F.when(~F.col("linked"), 1)).alias("open"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")
+    ).where("open > 0 AND members > 2")
+    groups = scratch.keep(groups.select("p", F.ceil(F.col("weight") / CELL).cast("int").alias("cells")), "groups")
+    spread = placed.join(groups, "p").withColumn("pivot", F.col("row") == F.col("p")).withColumn(
+        "side", F.pmod(F.xxhash64("row"), "cells").cast("int")
     )
+    every, own = F.sequence(F.lit(0), F.col("cells") - 1), F.col("side")
+    pairs = F.when(  # the pivot goes to all cells, a member to those of its chunk with every other chunk
+        F.col("pivot"), F.flatten(F.transform(every, lambda i: F.transform(F.sequence(i, F.col("cells") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    ).otherwise(F.transform(every, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
+    spread = spread.join(whole, "row").withColumn("c", F.explode(pairs))
+    side = F.when(F.col("pivot"), F.col("c.i")).otherwise(own)
+    spread = spread.select(F.xxhash64("p", "c.i", "c.j").alias("cell"), "row", "n", "linked", side.alias("side"), "pivot", "elements")
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = spread.repartition(parts, "cell").sortWithinPartitions("cell", "n", "row").mapInArrow(_cell_pairs, "a long, b long")
-    done = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.keep(_verified(pairs.distinct().join(done, ["a", "b"], "left_anti"), whole), "among-members")
-    found = scratch.keep(seen.unionByName(more).where(_linked()).select("a", "b"), "links")
-    scratch.drop("lists", "members", "needed", "elements", "with-pivots", "among-members")
+    more = spread.repartition(parts, "cell").sortWithinPartitions("cell", "n", "row").mapInArrow(_cell_links, "a long, b long")
+    found = scratch.keep(seen.where(_linked()).select("a", "b").unionByName(more), "links")
+    scratch.drop("lists", "members", "needed", "elements", "with-pivots", "placed", "groups")
     return everyone, found
 
 
