@@ -1,0 +1,488 @@
+"""Every operator against plain Python on small fixtures: nulls, empty and long texts, ties, repeated rows, no rows."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from strideframe.llm import (
+    bpe, components, decontamination, language, nearest, passages, personal, secrets, similar, token_counts, token_files,
+)
+from strideframe.llm import words as W
+from strideframe.llm.stages import Scratch
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, hits string, Language string"
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" + rng.choice(["", ",", ".", "É"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Copies, edited copies, shared passages, repeated rows, NULLs, blanks and a long text."""
+    rng = random.Random(11)
+    base = [prose(rng, rng.choice([1, 3, 4, 5, 12, 60, 90])) for _ in range(25)]
+    passage = prose(rng, 30)
+    made = list(enumerate(base * 2, 100))
+    for i in range(40):
+        own = base[i % 5 + 15].split(" ")
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(50)}"
+        made.append((300 + i, " ".join(own)))
+    made += [(400 + i, f"{prose(rng, 8)} {passage}\n{prose(rng, 9)} {passage}") for i in range(4)]
+    made += [(1, None), (2, ""), (3, " \t\n"), (4, prose(rng, 20_000, 10**6)), (5, "Word"), (6, "a b c d"), (7, "A B c\nd"), (None, "no id here")]
+    return made + [made[60], made[60]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, None if i is None or i % 3 == 0 else "en", "s", None if t is None else len(t), "i", "h", "l") for i, t in texts]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def rows_of(df, *columns):
+    return Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+@pytest.mark.parametrize("piece", [48, 1 << 20])
+def test_word_hashes(piece, monkeypatch):
+    monkeypatch.setattr(W, "_PIECE", piece)
+    rng = random.Random(3)
+    parts = ["a", "B", "é", " ", "\n", "7", "zz", "\x0b", "ß_", "-", "x" * 70]
+    for _ in range(60):
+        own = [None if rng.random() < 0.1 else "".join(rng.choices(parts, k=rng.choice([0, 1, 3, 40]))) for _ in range(6)]
+        for first, _, data, offsets in W.slabs(pa.array(own, pa.string()), 90):
+            slab = W.WordSlab(data, offsets, W.SPACED, W.SAME)
+            for d in range(slab.docs()):
+                want = [w.encode() for w in words_of(own[first + d])]
+                assert slab.words(slab.first[d], slab.first[d + 1]) == want
+                for w, h in zip(want, slab.hashes[slab.first[d] :]):
+                    assert W.WordSlab(np.frombuffer(w, np.uint8), np.array([0, len(w)]), W.SPACED, W.SAME).hashes[0] == h
+
+
+# ---- 1
+
+
+def plain_hits(text, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    own, hit, found = split(text), set(), set()
+    for item, t in items:
+        w = split(t)
+        k = min(10, len(w))
+        grams = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+        for i in range(len(own) - k + 1 if k else 0):
+            if tuple(own[i : i + k]) in grams:
+                hit.update(range(i, i + k))
+                found.add(str(item))
+    ids = ",".join(sorted(found))
+    return len(own), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("block", [30, 10**6])
+def test_decontamination(spark, docs, texts, none, block):
+    by_id = dict(texts)
+    items = [(1, by_id[400]), (10, by_id[4][:300]), (2, "W3"), (2, "a B"), (None, "word"), (9, None), (8, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    usable = [i for i in items if None not in i]
+    found, name = decontamination.hit_words(docs.select("doc_id", "text"), bench, block_words=block)
+    assert found.count() == len(texts) and name == "hits"
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = Counter((i, *plain_hits(t, usable)) for i, t in texts)
+    assert rows_of(decontamination.digest(docs, bench), *columns) == want
+    clean = Counter(i for i, t in texts if not plain_hits(t, usable)[4])
+    kept = decontamination.drop_documents(docs, bench, block_words=block)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == clean
+    cut = decontamination.remove_spans(docs, bench.where("item_id = 1"))
+    assert cut.schema == docs.schema
+    for r in cut.collect():
+        assert r.doc_id in (None, 400) or r.text == by_id[r.doc_id] or r.doc_id > 400
+        assert r.doc_id != 400 or len(words_of(r.text)) == 0
+    assert decontamination.digest(none, bench).count() == 0
+    assert not any(r.contaminated for r in decontamination.digest(docs, bench.where("false")).collect())
+
+
+# ---- 2
+
+
+def test_secrets(spark, none):
+    rng = random.Random(5)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(60)]
+    rows = [(i, f'the thing {"token" if i % 2 else "commit"} {"=" if i % 2 else ""} "{h}" and more text of words', "x", "s", 1, "i", "h", "l") for i, h in enumerate(hexes)]
+    rows += [(100, None, "x", "s", 1, "i", "h", "l"), (101, "", "x", "s", 1, "i", "h", "l"), (None, "plain words 12", "x", "s", 1, "i", "h", "l")]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = secrets.fit(docs)
+    found = secrets.scan(docs, model).collect()
+    assert {r.doc_id for r in found if r.is_secret} == set(range(1, 60, 2))
+    assert all(rows[r.doc_id][1][r.start : r.end] == hexes[r.doc_id] for r in found) and len(found) == 60
+    clean = {r.doc_id: r for r in secrets.redacted(docs, model).collect()}
+    assert clean[1].text.count("[secret]") == 1 and clean[1].n_chars == len(clean[1].text) and clean[2].text == rows[2][1]
+    assert clean[100].text is None and secrets.redacted(docs, model).schema == docs.schema
+    assert secrets.scan(none, secrets.fit(none)).count() == 0
+    labelled = spark.createDataFrame(
+        [(rows[i][1], rows[i][1].index(h), rows[i][1].index(h) + 40, None, i % 2) for i, h in enumerate(hexes)] + [(None, 0, 1, None, 1)],
+        "text string, start int, end int, kind string, label int",
+    )
+    assert {r.doc_id for r in secrets.scan(docs, secrets.fit(docs, labelled)).collect() if r.is_secret} <= set(range(1, 60, 2))
+
+
+# ---- 3
+
+
+def plain_components(texts):
+    sets = []
+    for _, t in texts:
+        w = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    groups = defaultdict(list)
+    for i in range(len(sets)):
+        groups[root(i)].append(i)
+    names = {r: min((texts[i][0] for i in own if texts[i][0] is not None), default=None) for r, own in groups.items()}
+    return Counter((texts[i][0], len(sets[i]), names[root(i)]) for i in range(len(sets))), len(groups)
+
+
+@pytest.mark.parametrize("cell,bands", [(150, ((0, 1.0), (20, 0.5), (40, 0.3))), (400_000, similar.BANDS)])
+def test_similar(docs, texts, none, cell, bands, monkeypatch):
+    monkeypatch.setattr(similar, "CELL", cell)
+    monkeypatch.setattr(similar, "BANDS", bands)
+    want, groups = plain_components(texts)
+    assert rows_of(similar.digest(docs), "doc_id", "n_shingles", "component_id") == want
+    if cell == 150:
+        kept = similar.one_of_each(docs)
+        assert kept.columns == docs.columns and kept.count() == groups
+        assert similar.digest(none).count() == 0 and similar.one_of_each(none).count() == 0
+
+
+def test_similar_edited_copies(spark):
+    """A large group whose members are linked to the first text or not, and to each other or not."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    made = [(0, " ".join(base))]
+    for i in range(1, 90):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            own[rng.randrange(80)] = f"e{i}" if rng.random() < 0.5 else "same"
+        made.append((i, " ".join(own)))
+    got = rows_of(similar.digest(spark.createDataFrame(made, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == plain_components(made)[0]
+
+
+def test_cell_links():
+    """The join inside a cell finds what connects its members, against all pairs."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        base = rng.integers(0, 10**9, 60).astype(W.U64)
+        sets_ = [np.unique(base)]
+        for _ in range(25):
+            own = base.copy()
+            own[rng.integers(0, 60, rng.integers(0, 14))] = rng.integers(0, 40, 1).astype(W.U64)
+            sets_.append(np.unique(own[: rng.integers(45, 61)]))
+        sets_.sort(key=len)
+        n = np.array([len(s) for s in sets_])
+        p = int(rng.integers(len(sets_)))
+        common = lambda i, j: len(np.intersect1d(sets_[i], sets_[j]))
+        linked = np.array([7 * common(i, p) >= 3 * (n[i] + n[p]) for i in range(len(n))])
+        pivot = np.arange(len(n)) == p
+        cell = similar._Cell(np.arange(len(n)), n, linked, np.zeros(len(n), int), pivot, sets_)
+        found = list(cell.links())
+        assert all(7 * common(i, j) >= 3 * (n[i] + n[j]) for i, j in found)
+        for i in range(len(n)):
+            for j in range(i):
+                if 7 * common(i, j) >= 3 * (n[i] + n[j]):
+                    assert cell._root(i) == cell._root(j)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 230)]
+    parent = {n: n for link in links for n in link}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    made = components.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"))
+    assert {r.node: r.root for r in made.collect()} == {n: root(n) for n in parent if root(n) != n}
+
+
+# ---- 4
+
+
+def plain_repeats(texts, size):
+    order = sorted(range(len(texts)), key=lambda i: (texts[i][0] is not None, texts[i][0] or 0))
+    seen, out = set(), Counter()
+    for i in order:
+        w = words_of(texts[i][1])
+        gone = set()
+        for s in range(len(w) - size + 1):
+            key = tuple(w[s : s + size])
+            gone.update(range(s, s + size) if key in seen else ())
+            seen.add(key)
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        out[texts[i][0], len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    return out
+
+
+def test_passages(docs, texts, none):
+    assert rows_of(passages.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_repeats(texts, 20)
+    everyone, changed = passages.without_repeats(docs, 8)
+    assert rows_of(everyone, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_repeats(texts, 8)
+    shas = {r.row: r.kept_sha256 for r in everyone.collect()}
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == shas[r.row] for r in changed.collect())
+    assert passages.digest(none).count() == 0
+
+
+# ---- 5
+
+
+def test_codes():
+    rng = np.random.default_rng(1)
+    for n, size in ((1, 5), (2, 1000), (50, 3), (3000, 30_000), (700, 0)):
+        ids = (rng.zipf(1.3, size) % n).astype(np.uint32)
+        known, counts = np.unique(ids, return_counts=True)
+        lengths = token_files.code_lengths(counts, 12)
+        assert lengths.max(initial=0) <= 12 and (2.0 ** -lengths.astype(float)).sum() <= 1 + 1e-9
+        book = token_files.CodeBook(known.astype(np.int64), lengths)
+        assert (book.unpack(book.pack(ids)) == ids).all()
+    fibonacci = [1, 1, 2, 3, 5, 8, 13, 21, 34, 55]
+    assert token_files.code_lengths(np.array(fibonacci), 20).max() == 9 and token_files.code_lengths(np.array(fibonacci), 4).max() == 4
+    with pytest.raises(ValueError):
+        token_files.code_lengths(np.ones(5), 2)
+
+
+def test_token_files(spark, docs, texts, none):
+    from tokenizers import Tokenizer
+
+    tokenizer, at, want = Tokenizer.from_file(WORD_BPE), 0, Counter()
+    extra = [(9, "É ÉA. don't <|endoftext|> <|ENDOFTEXT|> 12a ×b é 漢字🙂 .,a H̱")]
+    made = sorted(texts + extra, key=lambda r: (r[0] is not None, r[0] or 0))
+    for i, t in made:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        want[i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))] += 1
+        at += len(ids)
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    assert rows_of(token_files.digest(both, WORD_BPE, 2), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    path = Scratch(spark, "test").root
+    token_files.write(both, path, WORD_BPE, 2)
+    assert all(r.n_tokens == len(r.ids) and r.ids[-1] == 2 for r in token_files.read(spark, path).collect())
+    assert token_files.digest(none, WORD_BPE, 2).count() == 0
+
+
+# ---- 6
+
+
+@pytest.mark.parametrize("shard", [17, 20_000])
+def test_nearest(spark, shard, monkeypatch):
+    monkeypatch.setattr(nearest, "SHARD", shard)
+    monkeypatch.setattr(nearest, "LEAF", 4)
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([-1.5, 0.25, 0.3, 2.0]) for _ in range(3)]) for i in range(120)] + [(i, [0.25, 2.0, 0.3]) for i in range(60, 90)]
+    rows += [(200, None), (250, [1.0, None, 2.0]), (300, [float("nan"), 1.0, 1.0]), (350, [float("inf"), 0.0, 0.0]), (None, [9.0, 9.0, 9.0])]
+    rows += [(400, [1e12, -1e12, 1e12]), (401, [1.0]), (450, [2.0]), (500, [])]
+    usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for q, (i, v) in enumerate(usable):
+        if i % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for c, (j, w) in enumerate(usable) if c != q and len(w) == len(v))
+            for rank, (s, j) in enumerate(scores[:5], 1):
+                want[i, rank, j, max(-(2**63), min(2**63 - 1, -s))] += 1
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert rows_of(nearest.top_k(vectors, F.col("vec_id") % 50 == 0, 5), "query_id", "rank", "vec_id", "score") == want
+    assert nearest.top_k(vectors.where("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+# ---- 7
+
+
+def test_token_counts(docs, texts, none):
+    pieces = token_counts.read_pieces(PIECES)
+
+    def plain(token):
+        best, count = [0], [0]
+        for d in range(1, len(token) + 1):
+            options = [(best[s] + pieces.scores[token[s:d]], -count[s] - 1) for s in range(d) if token[s:d] in pieces.scores]
+            if token[d - 1] not in pieces.scores:
+                n = len(token[d - 1].encode())
+                options.append((best[d - 1] + n * pieces.byte_score, -count[d - 1] - n))
+            b, c = max(options)
+            best.append(b)
+            count.append(-c)
+        return count[-1]
+
+    short = [(i, t) for i, t in texts if i != 4]
+    got = rows_of(token_counts.token_counts(docs.where("doc_id IS NULL OR doc_id <> 4"), PIECES), "doc_id", "n_pretokens", "n_tokens")
+    assert got == Counter((i, len(words_of(t)), sum(plain("▁" + w) for w in words_of(t))) for i, t in short)
+    trie = token_counts.Trie(pieces)
+    for token in ("▁the", "▁thethe", "▁漢龘🙂", "▁" + "ab" * 100):
+        assert trie.count(token) == plain(token)
+    assert token_counts.token_counts(none, PIECES).count() == 0
+
+
+# ---- 8
+
+
+def plain_personal(t):
+    found = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = re.sub(r"\D", "", m.group())
+        total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+        if 14 <= len(digits) <= 19 and total % 10 == 0:
+            found.append((m.start(), m.end(), 2))
+    found += [(m.start(), m.end(), 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub(r"\D", "", m.group())) <= 15]
+    return sorted(found, key=lambda s: (s[0], s[2]))
+
+
+def test_personal_patterns():
+    rng = random.Random(5)
+    parts = ["a", "@", ".", ".com", "1", "25", "300", "4", "+", "-", " ", "(", ")", "79927398713", "4242424242424242", "é", "\n", "b@c.d", "1.2.3.4"]
+    for _ in range(8000):
+        text = "".join(rng.choices(parts, k=rng.choice([3, 10, 40])))
+        assert personal.base_spans(text) == plain_personal(text)
+
+
+def test_personal(spark, none):
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    rows = []
+    for i in range(300):
+        middle = rng.choice([f"mail {digits(3)}x@host{i}.example.com", f"call +1 ({digits(3)}) {digits(3)}-{digits(4)}", f"nr {digits(16)}", f"ip 10.{i % 256}.3.4", "none", f"id {digits(9)}"])
+        rows.append((i, f"some words {middle} and others", "x", "s", 1, "i", "h", "l"))
+    rows += [(900, None, "x", "s", 1, "i", "h", "l"), (901, "", "x", "s", 1, "i", "h", "l"), (None, "1.2.3.4", "x", "s", 1, "i", "h", "l")]
+    docs = spark.createDataFrame(rows, DOCS)
+    for r in personal.digest(docs).collect():
+        text = next(x[1] for x in rows if x[0] == r.doc_id) or ""
+        base = plain_personal(text)
+        names = [f"{personal.KINDS[k]}:{s}:{e}" for s, e, k in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert set(names) <= set(r.spans.split(",")) | {""} and (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == b[2] for b in base) for k in range(4))
+    gone = {r.doc_id: r.text for r in personal.redacted(docs, personal.fit(docs)).collect()}
+    assert gone[None] == "[ip]" and gone[900] is None and not any(plain_personal(t or "") for t in gone.values())
+    assert personal.digest(none).count() == 0
+    level, chance = personal.isotonic(np.array([0.1, 0.4, 0.2, 0.9]), np.array([0, 0, 1, 1]))
+    assert level.tolist() == [0.1, 0.2, 0.4, 0.9] and chance.tolist() == [0, 0.5, 0.5, 1]
+
+
+# ---- 9
+
+
+def test_language(spark, sf, docs, none):
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    made = language.digest(real).join(real.select("doc_id", "lang", "text"), "doc_id").collect()
+    held = [r for r in made if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in made)
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+    model = language.fit(real, language.learnable())
+    for text in (None, "", "12 34 !", "²"):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("漢字")[1] <= 0.25 and model.predict("the " * 300_000)[0] == "en"
+    assert language.digest(none).count() == 0 and {r.lang_pred for r in language.digest(docs).collect()} == {"en", "und"}
+    kept = language.identified(docs)
+    assert kept.columns == docs.columns and {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
+    assert {r.lang_pred for r in language.digest(real.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# ---- 10
+
+
+@pytest.fixture(scope="module")
+def tiktoken_ids():
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    return own.encode_ordinary
+
+
+def test_bpe(docs, texts, none, tiktoken_ids):
+    want = Counter()
+    for i, t in texts:
+        ids = tiktoken_ids(t or "")
+        want[i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert rows_of(bpe.digest(docs, RANKS, PATTERN), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    made = bpe.encode(docs, RANKS, PATTERN)
+    assert made.columns == [*docs.columns, "_ids"] and all(r["_ids"] == tiktoken_ids(r.text or "") for r in made.collect())
+    assert bpe.digest(none, RANKS, PATTERN).count() == 0
+
+
+def test_bpe_appends_and_edits(tiktoken_ids):
+    vocabulary, known, pattern = bpe._coder(RANKS, PATTERN)
+    rng = random.Random(4)
+    some = lambda k: "".join(rng.choices(["'s", "'", "re", " ", "  ", "\n", "a", "the", "7", "é", "漢", "!", " wor", "\x00"], k=k))
+    for _ in range(120):
+        editor, prefixes = bpe.Editor(vocabulary, PATTERN, some(50)), bpe.Prefixes(vocabulary, some(40).encode())
+        for _ in range(4):
+            a = rng.randint(0, len(editor.text))
+            editor.edit(a, min(len(editor.text), a + rng.randint(0, 6)), some(rng.randint(0, 3)))
+            editor.append(some(2))
+            assert editor.ids() == tiktoken_ids(editor.text)
+            a = rng.randint(0, len(prefixes.data))
+            prefixes.edit(a, min(len(prefixes.data), a + 3), some(1).encode())
+            assert prefixes.ids() == vocabulary.merged(bytes(prefixes.data))
+            assert prefixes.ids(5) == vocabulary.merged(bytes(prefixes.data[:5]))
+    long = bpe.Prefixes(vocabulary, b"the quick brown fox " * 200)
+    before = long.computed
+    long.edit(10, 12, b"xx")
+    assert long.computed - before < 600
+    for text in (" " * 4000, "a" * 4000, "ab" * 2000):
+        assert np.frombuffer(bpe._encoded(text, known, pattern), "<u4").tolist() == tiktoken_ids(text)
+
+
+# ---- pipeline
+
+
+def test_pipeline(spark, sf, tiktoken_ids):
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    scratch, docs, names = Scratch(spark, "test"), source, []
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.orderBy("doc_id").collect()
+        docs = scratch.keep(stage(spark, docs, sf), name)
+        after = {r.doc_id: r for r in docs.collect()}
+        names.append(name)
+        if name != "byte_bpe":
+            assert docs.columns == source.columns
+        if name == "near_duplicates":
+            texts = [(r.doc_id, r.text) for r in before]
+            assert set(after) == {c for _, _, c in plain_components(texts)[0]}
+        if name == "decontamination":
+            assert set(after) == {r.doc_id for r in before if not plain_hits(r.text, bench)[4]}
+        if name == "secrets":
+            assert set(after) == {r.doc_id for r in before} and not any(re.search(r"(?i)token = \"[0-9a-f]{40}", r.text) for r in after.values())
+    assert len(names) == 5 and all(r.ids == tiktoken_ids(r.text) for r in after.values())
+    assert corpus_pipeline.run(spark, sf).count() == len(after)
