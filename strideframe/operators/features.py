@@ -244,12 +244,13 @@ def message_features(
     keys: Sequence[str],
     columns: Sequence[str] = tuple(S.FEATURE_COLUMNS),
     rate: float = S.SAMPLING_RATE,
+    meta: Sequence[str] = (),
 ) -> DataFrame:
-    """Features of windows given as six arrays, ``keys`` naming one window each."""
-    rows = windows.select(*keys, F.posexplode(F.arrays_zip(*S.AXES)).alias("step", "_s")).select(
-        *keys, "step", *[F.col("_s").getField(a).alias(a) for a in S.AXES]
+    """Features of windows given as six arrays, ``keys`` naming one window each; ``meta`` columns may hold NULLs."""
+    rows = windows.select(*keys, *meta, F.posexplode(F.arrays_zip(*S.AXES)).alias("step", "_s")).select(
+        *keys, *meta, "step", *[F.col("_s").getField(a).alias(a) for a in S.AXES]
     )
-    return dataset_features(rows, columns, rate, window=keys, meta=())
+    return dataset_features(rows, columns, rate, window=keys, meta=meta)
 
 
 def clean_vector(df: DataFrame, columns: Sequence[str] = tuple(S.FEATURE_COLUMNS)) -> DataFrame:

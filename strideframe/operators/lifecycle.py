@@ -74,13 +74,19 @@ def _last(value: Column, when: Column) -> Column:
     return F.max_by(value, F.when(when, F.struct("ts", "seq")))
 
 
+def _since_detection(falls: DataFrame, actions: DataFrame) -> DataFrame:
+    """Actions on a fall that has been detected by then; earlier ones cannot be about it."""
+    detected = falls.select("event_id", F.col("ts").alias("_detected"))
+    return actions.join(detected, "event_id").where("ts >= _detected").drop("_detected")
+
+
 def event_outcomes(
     falls: DataFrame, actions: DataFrame, timeout: float = S.CONFIRM_TIMEOUT_SECONDS, as_of: Column | None = None
 ) -> DataFrame:
     """Final state per event. The timer fires unless some response (even an unknown one) comes before it."""
     what, place = F.col("what"), F.struct("ts", "seq")
     decisive = what.isin("OK", "HELP")
-    log = classified(actions)
+    log = classified(_since_detection(falls, actions))
     per_event = log.groupBy("event_id").agg(
         F.min(F.when(F.col("kind") == "response", F.col("ts"))).alias("_first_response"),
         _last(F.struct("ts", "what"), what.isin("OK", "HELP", "ACK")).alias("_last_status"),
@@ -130,9 +136,10 @@ def event_outcomes(
 def first_resolution(falls: DataFrame, actions: DataFrame, timeout: float = S.CONFIRM_TIMEOUT_SECONDS) -> DataFrame:
     """How the running timer ended: the first response before it is due, or TIMEOUT.
 
-    The first response per event is aggregated before the join, so the join is one row to one row.
+    Only responses from the detection on count.
     """
-    first = classified(actions.where("kind = 'response'")).groupBy("event_id").agg(
+    answers = _since_detection(falls, actions.where("kind = 'response'"))
+    first = classified(answers).groupBy("event_id").agg(
         F.min_by(F.struct("ts", "what"), F.struct("ts", "seq")).alias("_first")
     )
     due = seconds(F.col("ts"), timeout)

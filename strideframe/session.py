@@ -1,5 +1,6 @@
 """Session defaults and the shared checkpoint folder."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the session names; a throw-away one only where none is named (local tests)."""
+    """The checkpoint folder the session names; a throw-away one only where none is named and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strideframe-"))
     return spark.sparkContext.getCheckpointDir()

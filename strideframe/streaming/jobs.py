@@ -85,8 +85,8 @@ def connection_sessions(samples: DataFrame, keys: list[str], gap: str, late: str
 def score_windows(windows: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """Window messages to decisions: the same features and rules as in batch. Without a scorer the rule decides."""
     columns = S.FEATURE_COLUMNS if scorer else ["acc_mag_max", "gyro_mag_max", "jerk_max"]
-    keys = ["stream_key", "n", "ts", "lat", "lon"]
-    made = features.message_features(windows.select(*keys, *S.AXES), keys, columns)
+    keys, meta = ["stream_key", "n"], ["ts", "lat", "lon"]
+    made = features.message_features(windows.select(*keys, *meta, *S.AXES), keys, columns, meta=meta)
     if scorer is None:
         out = decision.features_summary(decision.decide_without_model(made), tilt=False)
     else:

@@ -132,3 +132,17 @@ def test_late_ok_and_acknowledge_before_timer(spark):
     assert (r["status"], r["alert_sent"]) == ("CANCELLED_BY_USER", True)
     r = outcome(spark, [fall(1)], [act(1, 5, 1, kind="acknowledge", by="op")])[2]
     assert (r["status"], r["acknowledged"], r["acknowledged_by"]) == ("CONFIRMED", True, "op")
+
+
+def test_answers_before_the_fall_do_not_count(spark):
+    from pyspark.sql import functions as F
+
+    from strideframe.operators import lifecycle
+
+    at = lambda s: F.expr(f"timestamp'2024-01-01 00:00:00' + interval {s} seconds")
+    falls = spark.range(1).select(F.lit(1).cast("long").alias("event_id"), at(10).alias("ts"))
+    early = spark.range(1).select(
+        F.lit(1).cast("long").alias("event_id"), at(5).alias("ts"), F.lit(1).cast("long").alias("seq"),
+        F.lit("response").alias("kind"), F.lit("OK").alias("action"),
+    )
+    assert lifecycle.first_resolution(falls, early, 15.0).first()["resolution"] == "TIMEOUT"

@@ -120,3 +120,24 @@ def test_ingest(spark, tmp_path):
     assert out[0]["ts"].timestamp() % 1 == pytest.approx(0.5)
     answers = jobs.responses(spark.createDataFrame(texts, "value string, sender long")).collect()
     assert [(r["event_id"], r["action"]) for r in answers] == [(4, "OK")]
+
+
+def test_score_windows_keeps_windows_without_location(spark):
+    from strideframe import schemas as S
+    from strideframe.streaming import jobs
+
+    axes = {a: [0.1 * i for i in range(16)] for a in S.AXES}
+    rows = [("d1", 1, None, None, *axes.values()), ("d1", 2, 1.0, 2.0, *axes.values())]
+    kind = "stream_key string, n long, lat double, lon double, " + ", ".join(f"{a} array<double>" for a in S.AXES)
+    from pyspark.sql import functions as F
+
+    windows = spark.createDataFrame(rows, kind).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+
+    def scorer(made):
+        return made.select("stream_key", "n", "ts", "lat", "lon", *S.FEATURE_COLUMNS)
+
+    from strideframe.operators import features
+
+    made = features.message_features(windows, ["stream_key", "n"], S.FEATURE_COLUMNS, meta=["ts", "lat", "lon"])
+    assert sorted((r.n, r.lat) for r in scorer(made).collect()) == [(1, None), (2, 1.0)]
+    assert jobs.score_windows(windows).count() == 2
