@@ -5,7 +5,8 @@ A plain ``row_number() OVER (PARTITION BY key)`` puts a whole key into one task.
 along their order, each chunk is processed on its own, and a small per-chunk summary supplies what the earlier
 chunks contribute. Keys below the limit keep the plain plan with a single exchange.
 
-``keys`` must not hold NULLs. ``along`` is a LONG expression that never decreases along ``order``.
+``keys`` must not hold NULLs. ``along`` is a LONG expression that never decreases along ``order``; rows where it is NULL
+come first, as in any ascending order.
 """
 
 import math
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 4_000_000
-# Only the largest keys are split; any key beyond these holds under 1/10000 of all rows. Bounds every broadcast here.
-MAX_SPLIT_KEYS = 10_000
+# Up to so many split keys their table is broadcast; a longer one is joined as Spark sees fit.
+BROADCAST_KEYS = 10_000
 
 
 def micros(ts: str) -> Column:
@@ -24,14 +25,15 @@ def micros(ts: str) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], along: Column, limit: int = HOT_ROWS) -> DataFrame | None:
-    """``keys, _lo, _width`` for every key above ``limit`` rows (at most MAX_SPLIT_KEYS rows), or None."""
+    """``keys, _lo, _width`` for every key above ``limit`` rows (so at most one row in ``limit`` input rows), or None."""
     stats = (
         df.select(*keys, along.alias("_along"))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_along").alias("_lo"), F.max("_along").alias("_hi"))
         .where(F.col("_n") > limit)
     )
-    found = stats.orderBy(F.desc("_n")).limit(MAX_SPLIT_KEYS).collect()
+    # A key whose order is NULL throughout is one chunk.
+    found = stats.fillna(0, ["_lo", "_hi"]).collect()
     if not found:
         return None
     schema = df.select(*keys).schema.add("_lo", "long").add("_width", "long")
@@ -41,15 +43,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], along: Column, limit: int = HOT
             (*(r[k] for k in keys), r["_lo"], max(1, math.ceil((r["_hi"] - r["_lo"] + 1) / pieces[i])))
             for i, r in enumerate(found)
         ]
-        return df.sparkSession.createDataFrame(rows, schema)
+        made = df.sparkSession.createDataFrame(rows, schema)
+        return F.broadcast(made) if len(rows) <= BROADCAST_KEYS else made
 
     pieces = {i: math.ceil(r["_n"] / limit) for i, r in enumerate(found)}
     index = {tuple(r[k] for k in keys): i for i, r in enumerate(found)}
-    # Rows are rarely spread evenly along the order: narrow the chunks until the densest one fits.
-    for _ in range(4):
+    # Rows are rarely spread evenly along the order: narrow the chunks until the densest one fits. Every pass at least
+    # triples the pieces of a key that is still too dense, up to one per value.
+    while True:
         densest = (
             chunked(df.select(*keys, along.alias("_along")), keys, F.col("_along"), table(pieces))
-            .where(F.col("_chunk") >= 0)
+            .where(F.col("_chunk") > 0)
             .groupBy(*keys, "_chunk").count()
             .groupBy(*keys).agg(F.max("count").alias("_max"))
             .where(F.col("_max") > 2 * limit)
@@ -68,12 +72,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], along: Column, limit: int = HOT
 
 
 def chunked(df: DataFrame, keys: Sequence[str], along: Column, hot: DataFrame | None) -> DataFrame:
-    """Add ``_chunk``: -1 for ordinary keys, 0.. along the order for split keys."""
+    """Add ``_chunk``: -1 for ordinary keys; for split keys 0 where the order is NULL and 1.. along the order."""
     if hot is None:
         return df.withColumn("_chunk", F.lit(-1).cast("long"))
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_chunk", F.coalesce(F.floor((along - F.col("_lo")) / F.col("_width")), F.lit(-1)).cast("long"))
+        df.join(hot, list(keys), "left")
+        .withColumn(
+            "_chunk",
+            F.when(F.col("_width").isNull(), -1)
+            .otherwise(F.coalesce(F.floor((along - F.col("_lo")) / F.col("_width")) + 1, F.lit(0))).cast("long"),
+        )
         .drop("_lo", "_width")
     )
 

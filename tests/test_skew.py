@@ -50,6 +50,22 @@ def test_numbered(skewed):
     assert rows(one) == rows(many)
 
 
+def test_null_order_comes_first_in_split_keys(spark):
+    df = spark.range(60).select(
+        F.when(F.col("id") < 40, "hot").otherwise("blank").alias("k"), F.col("id").alias("v"),
+        F.when((F.col("id") < 40) & (F.col("id") % 5 > 0), F.col("id") * F.col("id")).alias("t"),
+    )
+    args = (df, ["k"], ["t", "v"], F.col("t"))
+    held = {"h": F.when(F.col("v") % 3 == 0, F.col("v"))}
+    whole, split = (ordered.numbered(*args, limit=n).drop("_chunk") for n in (1000, 8))
+    assert rows(whole) == rows(split)
+    for forward in (True, False):
+        whole, split = (ordered.carried(*args, held, limit=n, forward=forward) for n in (1000, 8))
+        assert rows(whole) == rows(split)
+    whole, split = (ordered.lagged(*args, {"p": F.col("v")}, limit=n) for n in (1000, 8))
+    assert rows(whole) == rows(split)
+
+
 @pytest.mark.parametrize("forward", [True, False])
 def test_carried(skewed, forward):
     held = {"h": F.col("acc_x")}
