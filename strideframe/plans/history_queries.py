@@ -194,10 +194,14 @@ def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "registered_user_samples",
     f"""WITH {Q.USERS} SELECT e.event_id, CASE WHEN u.id IS NULL THEN 'USER_NOT_FOUND' END AS code
-FROM events e LEFT JOIN users u ON u.id = e.user_id""",
+FROM events e LEFT JOIN users u ON u.id = CASE WHEN e.event_id % 7 = 0 THEN -e.user_id ELSE e.user_id END""",
 )
 def registered_user_samples(spark: SparkSession, sf: str) -> DataFrame:
-    known, unknown = readers.known_users(events(spark, sf), users(spark, sf))
+    # Every customer is registered; the samples of some events carry ids that nobody has.
+    sent = events(spark, sf).withColumn(
+        "user_id", F.when(F.col("event_id") % 7 == 0, -F.col("user_id")).otherwise(F.col("user_id"))
+    )
+    known, unknown = readers.known_users(sent, users(spark, sf))
     return known.select("event_id", F.lit(None).cast("string").alias("code")).unionByName(
         unknown.select("event_id", "code")
     )

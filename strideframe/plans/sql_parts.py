@@ -175,7 +175,7 @@ USERS = """users AS (
     CASE WHEN c_custkey % 50 = 0 THEN 'ADMIN' WHEN c_custkey % 3 = 0 THEN 'CAREGIVER' ELSE 'PATIENT' END AS role,
     CASE WHEN c_custkey % 4 > 0 THEN 'Contact ' || c_custkey WHEN c_custkey % 8 = 0 THEN '' END AS emergency_contact_name,
     CASE WHEN c_custkey % 5 > 0 THEN '+1555' || (c_custkey + 10000) END AS emergency_contact_phone
-  FROM customer WHERE c_custkey % 7 > 0
+  FROM customer
 )"""
 
 FALLS = """falls AS (

@@ -59,7 +59,7 @@ def users(spark: SparkSession, sf: str) -> DataFrame:
         F.when(c % 4 > 0, F.concat(F.lit("Contact "), c.cast("string"))).when(c % 8 == 0, "")
         .alias("emergency_contact_name"),
         F.when(c % 5 > 0, F.concat(F.lit("+1555"), (c + 10000).cast("string"))).alias("emergency_contact_phone"),
-    ).where(c % 7 > 0)
+    )
 
 
 def falls(spark: SparkSession, sf: str) -> DataFrame:
