@@ -2,13 +2,14 @@
 
 A known word counts by its log frequency in each language. An unseen word counts by its character n-grams: the
 longest length of which some n-gram is known, shorter lengths only if none is. A language that lacks a word or n-gram
-gets a fixed penalty below its rarest one. The score is the share of the best language when the mean word value,
+gets one floor, common to all languages: a fixed penalty below the rarest entry of the largest one. The score is the share of the best language when the mean word value,
 times at most ``EVIDENCE`` words, is taken as a log likelihood.
 
 The model is fitted on a bounded sample of labelled documents (``MOST_DOCS`` of each language, chosen by a hash of the
 id, whole texts); its tables are bounded too, so it can be broadcast. Every document is predicted, from its whole text.
 
-Defined cases: a text that is NULL or has no letter is ``und`` with score 0; NULL languages and ids teach nothing;
+Defined cases: a text that is NULL or has no letter is ``und`` with score 0; NULL languages and ids teach nothing, nor do
+texts without a letter, and a language without any counted word or n-gram is not in the model;
 without any labelled document every text is ``und``; ties go to the language that sorts first.
 """
 
@@ -34,6 +35,7 @@ EVIDENCE = 12
 UNKNOWN = "und"
 _SCALE = math.log(10)
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTER = r"\p{L}"
 #: Unseen words that a worker keeps, in each of two generations.
 _KEPT = 150_000
 _CHARS = 1 << 20
@@ -91,15 +93,16 @@ class Model:
     """Per length (0: whole words) the known entries and, per entry, the log10 frequency in every language."""
 
     def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]], totals: list[np.ndarray]):
-        self.languages = languages
+        some = np.flatnonzero(np.sum(totals, axis=0) > 0)
+        self.languages = [languages[i] for i in some]
         self.rows: list[dict[str, int]] = []
         parts, at = [], 0
         for table, total in zip(tables, totals):
             entries = sorted(table)
             self.rows.append({e: at + i for i, e in enumerate(entries)})
-            counts = np.array([table[e] for e in entries], float).reshape(len(entries), len(languages))
-            known = np.maximum(total, 1.0)
-            floor = -np.log10(known) - PENALTY
+            counts = np.array([table[e] for e in entries], float).reshape(len(entries), len(languages))[:, some]
+            known = np.maximum(total[some], 1.0)
+            floor = -np.log10(known.max(initial=1.0)) - PENALTY
             parts.append(np.where(counts > 0, np.log10(np.maximum(counts, 1.0) / known), floor))
             at += len(entries)
         self.values = np.concatenate(parts)
@@ -153,7 +156,7 @@ class Model:
 
 def fit(docs: DataFrame, usable: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Count words and n-grams of the languages in a bounded sample of the ``usable`` labelled documents."""
-    labelled = docs.where(usable & F.col(lang_col).isNotNull()).select(
+    labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(_LETTER)).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()

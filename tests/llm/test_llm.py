@@ -416,6 +416,22 @@ def test_language(spark, sf, docs, none):
     assert {r.lang_pred for r in language.digest(real.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_small_ones(spark):
+    """Languages of a NULL, an empty and a short text take nothing from large ones."""
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(2, 9)))
+    lexicons = {lang: [word(letters) for _ in range(3000)] for lang, letters in (("aa", "abcdefgh"), ("bb", "ghijklmn"))}
+    ranks = [1 / (r + 1) for r in range(3000)]
+    rows = [(i, " ".join(rng.choices(lexicons[lang], ranks, k=60)), lang) for i, lang in enumerate(["aa", "bb"] * 100)]
+    rows += [(300, None, "a0"), (301, "", "a1"), (302, "12 34", "a2"), (303, "opqr stuv opqr stuv", "a3"), (304, " ".join(lexicons["aa"][:20] * 2), "a4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    assert model.languages == ["a3", "a4", "aa", "bb"]
+    assert [model.predict(t)[0] for _, t, _ in rows[:200]] == [lang for _, _, lang in rows[:200]]
+    assert model.predict("stuv opqr stuv")[0] == "a3"
+    assert model.predict("".join(lexicons["bb"][-1:] * 3))[0] == "bb"  # no word of the table
+
+
 # ---- 10
 
 
