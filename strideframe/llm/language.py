@@ -6,7 +6,9 @@ gets one floor, common to all languages: a fixed penalty below the rarest entry
 times at most ``EVIDENCE`` words, is taken as a log likelihood.
 
 The model is fitted on a bounded sample of labelled documents (``MOST_DOCS`` of each language, chosen by a hash of the
-id, whole texts); its tables are bounded too, so it can be broadcast. Every document is predicted, from its whole text.
+id, whole texts and whole words). Its tables hold the most frequent ``WORDS`` words, and ``GRAMS`` n-grams per length, of
+each language; an entry of any language's share has its frequency in all. Only frequencies above 0 are stored, so the
+model grows with the sum over languages. Every document is predicted, from its whole text.
 
 Defined cases: a text that is NULL or has no letter is ``und`` with score 0; NULL languages and ids teach nothing, nor do
 texts without a letter, and a language without any counted word or n-gram is not in the model;
@@ -20,13 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.stages import fold, fresh, with_column
+from strideframe.llm.stages import fold, fresh, sized, with_column
 
 MOST_DOCS = 1000
-MOST_LANGUAGES = 1000
 WORDS = 60_000
 GRAMS = 30_000
 LONGEST = 5
@@ -39,8 +40,6 @@ _LETTER = r"\p{L}"
 #: Unseen words that a worker keeps, in each of two generations.
 _KEPT = 150_000
 _CHARS = 1 << 20
-#: n-grams are learnt from so many characters of a word; longer ones are no words of a language.
-_WORD_CHARS = 64
 
 
 def _counted(text: str, counts: Counter) -> None:
@@ -80,35 +79,54 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of each language in which an n-gram occurs: each distinct word counts once per place, being a type."""
     for batch in batches:
         made: dict[tuple[str, int], Counter] = {}
+        waiting = 0
         for lang, word in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            padded = f" {word[:_WORD_CHARS]} "
+            padded = f" {word} "
             for n in range(1, LONGEST + 1):
-                made.setdefault((lang, n), Counter()).update([padded[i : i + n] for i in range(len(padded) - n + 1)])
-        for counts in made.values():
-            del counts[" "]
+                made.setdefault((lang, n), Counter()).update(padded[i : i + n] for i in range(len(padded) - n + 1))
+            del made[lang, 1][" "]
+            waiting += LONGEST * len(padded)
+            if waiting > 1_000_000:
+                yield from _rows(made)
+                made, waiting = {}, 0
         yield from _rows(made)
 
 
 class Model:
-    """Per length (0: whole words) the known entries and, per entry, the log10 frequency in every language."""
+    """Per length (0: whole words) the known entries and, per entry, how far its log10 frequency in each language that
+    has it lies above the floor of the table. ``tables``: the languages' numbers and the counts of every entry."""
 
-    def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]], totals: list[np.ndarray]):
+    def __init__(self, languages: list[str], tables: list[dict[str, tuple[list[int], list[int]]]], totals: list[np.ndarray]):
         some = np.flatnonzero(np.sum(totals, axis=0) > 0)
         self.languages = [languages[i] for i in some]
+        place = np.zeros(len(languages), np.int32)
+        place[some] = np.arange(len(some), dtype=np.int32)
         self.rows: list[dict[str, int]] = []
-        parts, at = [], 0
+        sizes, owners, parts, at = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)], 0
         for table, total in zip(tables, totals):
             entries = sorted(table)
             self.rows.append({e: at + i for i, e in enumerate(entries)})
-            counts = np.array([table[e] for e in entries], float).reshape(len(entries), len(languages))[:, some]
-            known = np.maximum(total[some], 1.0)
+            known = np.maximum(total, 1.0)
             floor = -np.log10(known.max(initial=1.0)) - PENALTY
-            parts.append(np.where(counts > 0, np.log10(np.maximum(counts, 1.0) / known), floor))
+            sizes.append(np.fromiter((len(table[e][0]) for e in entries), np.int64, len(entries)))
+            own = np.fromiter((i for e in entries for i in table[e][0]), np.int32, int(sizes[-1].sum()))
+            counts = np.fromiter((k for e in entries for k in table[e][1]), float, len(own))
+            owners.append(place[own])
+            parts.append(np.log10(counts / known[own]) - floor)
             at += len(entries)
-        self.values = np.concatenate(parts)
+        #: Values of row r: ``values[first[r] : first[r + 1]]``, of the languages ``owners`` in the same places.
+        self.first, self.owners, self.values = np.cumsum(np.concatenate(sizes)), np.concatenate(owners), np.concatenate(parts)
         self.kept: dict[str, list[int]] = {}
         self.before: dict[str, list[int]] = {}
 
+    def sums(self, rows: list[int], times: list[float]) -> np.ndarray:
+        """Per language, the values of the rows, each as often as it occurs."""
+        at, n = np.array(rows), np.array(times, float)
+        at, n = at[n > 0], n[n > 0]
+        sizes = self.first[at + 1] - self.first[at]
+        where = np.repeat(self.first[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(self.owners[where], self.values[where] * np.repeat(n, sizes), len(self.languages))
+
     def unseen(self, word: str) -> list[int]:
         """The n-grams that stand for a word outside the table of words: rows of ``values``; none if all are unknown."""
         found = self.kept.get(word)
@@ -148,25 +166,44 @@ class Model:
                     rows[i] = times[i] = 0
         if n == 0:  # letters, but none of which any language has a trace
             return self.languages[0], 1.0 / len(self.languages)
-        mean = np.array(times, float) @ self.values[rows] / n * (_SCALE * min(n, EVIDENCE))
+        mean = self.sums(rows, times) / n * (_SCALE * min(n, EVIDENCE))
         share = np.exp(mean - mean.max())
         best = int(np.argmax(mean))
         return self.languages[best], float(share[best] / share.sum())
 
 
+def _bound(n: int) -> int:
+    return WORDS if n == 0 else GRAMS
+
+
+def _within_bounds(whole: DataFrame, each: DataFrame, large: list[tuple[int, str]]) -> DataFrame:
+    """Entries among the most frequent of some language. ``large`` are the lengths and languages with more than those."""
+    if not large:
+        return whole
+    big = each.sparkSession.createDataFrame(large, "n int, lang string")
+    ranked = each.join(sized(big, len(large)), ["n", "lang"]).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("k"), "entry"))
+    )
+    top = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("n", "entry")
+    small = each.join(sized(big, len(large)), ["n", "lang"], "left_anti").select("n", "entry")
+    return whole.join(top.unionByName(small).distinct(), ["n", "entry"], "left_semi")
+
+
 def fit(docs: DataFrame, usable: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Count words and n-grams of the languages in a bounded sample of the ``usable`` labelled documents."""
     labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(_LETTER)).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()
+    languages = sorted(r["lang"] for r in counted)
     if not languages:
         return Model([], [{} for _ in range(LONGEST + 1)], [np.zeros(0)] * (LONGEST + 1))
-    share = F.coalesce(*[
-        F.when(F.col("lang") == r["lang"], F.lit(int(1_000_000 * min(1.0, MOST_DOCS / r["count"])))) for r in sizes
-    ])
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("id"), F.lit(31)), F.lit(1_000_000)) < share)
+    shares = docs.sparkSession.createDataFrame(
+        [(r["lang"], int(1_000_000 * min(1.0, MOST_DOCS / r["docs"]))) for r in counted], "lang string, share int"
+    )
+    sample = labelled.join(sized(shares, len(counted)), "lang").where(
+        F.pmod(F.xxhash64(F.col("id"), F.lit(31)), F.lit(1_000_000)) < F.col("share")
+    )
 
     kinds = "lang string, n int, entry string, k long"
     words = sample.select("lang", "text").mapInArrow(_word_counts, kinds)
@@ -179,18 +216,15 @@ def fit(docs: DataFrame, usable: Column, *, text_col: str = "text", lang_col: st
     totals = [np.zeros(len(languages)) for _ in range(LONGEST + 1)]
     place = {lang: i for i, lang in enumerate(languages)}
     whole = whole.persist()
-    per_length = whole.select("n", F.explode("by").alias("lang", "k")).groupBy("n", "lang").agg(F.sum("k").alias("k"))
-    for r in per_length.collect():
+    each = whole.select("n", "entry", F.explode("by").alias("lang", "k"))
+    large = []
+    for r in each.groupBy("n", "lang").agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("entries")).collect():
         totals[r["n"]][place[r["lang"]]] = r["k"]
-    tables: list[dict[str, np.ndarray]] = []
-    for n in range(LONGEST + 1):
-        top = whole.where(F.col("n") == n).orderBy(F.desc("all"), "entry").limit(WORDS if n == 0 else GRAMS)
-        table = {}
-        for r in top.select("entry", "by").toLocalIterator():
-            table[r["entry"]] = row = np.zeros(len(languages))
-            for lang, k in r["by"].items():
-                row[place[lang]] = k
-        tables.append(table)
+        if r["entries"] > _bound(r["n"]):
+            large.append((r["n"], r["lang"]))
+    tables: list[dict[str, tuple[list[int], list[int]]]] = [{} for _ in range(LONGEST + 1)]
+    for r in _within_bounds(whole, each, large).select("n", "entry", "by").toLocalIterator():
+        tables[r["n"]][r["entry"]] = ([place[lang] for lang in r["by"]], list(r["by"].values()))
     whole.unpersist()
     words.unpersist()
     return Model(languages, tables, totals)

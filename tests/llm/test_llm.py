@@ -432,6 +432,25 @@ def test_language_small_ones(spark):
     assert model.predict("".join(lexicons["bb"][-1:] * 3))[0] == "bb"  # no word of the table
 
 
+def test_language_bounds_per_language(spark, monkeypatch):
+    """A large language takes no table places of a small one, and n-grams come from the whole word."""
+    rng = random.Random(9)
+    word = lambda letters, n: "".join(rng.choices(letters, k=n))
+    big, small = [word("abcdefgh", 6) for _ in range(400)], [word("ijklmnop", 6) for _ in range(30)]
+    run = word("qrst", 100) + "uvwxyz" * 2
+    rows = [(i, " ".join(big * 3), "big") for i in range(5)] + [(9, " ".join(small * 2), "small"), (10, f"{run} {run}", "unspaced")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = language.fit(docs, F.lit(True))
+    monkeypatch.setattr(language, "WORDS", 30)
+    monkeypatch.setattr(language, "GRAMS", 50)
+    model = language.fit(docs, F.lit(True))
+    assert set(small) <= set(model.rows[0]) and len(set(big) & set(model.rows[0])) == 30
+    assert "vwxyz" in want.rows[5] and "vwxyz" in model.rows[5]
+    assert all(sum(set(g) <= set("abcdefgh ") for g in model.rows[n]) <= 50 for n in range(1, 6))
+    for m in (want, model):
+        assert [m.predict(t)[0] for t in (big[0], small[7], "uvwxyzuvwxyz")] == ["big", "small", "unspaced"]
+
+
 # ---- 10
 
 
