@@ -15,7 +15,7 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language stays open."""
+    """Drops documents without a letter and those whose language stays open; only the former if no language is labelled."""
     return language.identified(docs)
 
 

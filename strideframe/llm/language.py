@@ -250,8 +250,13 @@ def learnable(id_col: str = "doc_id") -> Column:
 
 
 def identified(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
-    """``docs`` without those that have no letter or whose language stays open (score below ``least_score``)."""
-    found, name = predict(docs, fit(docs, F.col("doc_id").isNotNull()))
+    """``docs`` without those that have no letter or whose language stays open (score below ``least_score``).
+
+    If no language could be learnt, no language is decided: all documents that hold a letter are kept."""
+    model = fit(docs, F.col("doc_id").isNotNull())
+    if not model.languages:
+        return docs.where(F.col("text").rlike(_LETTER))
+    found, name = predict(docs, model)
     language = F.col(name)
     return found.where((language["lang"] != UNKNOWN) & (language["score"] >= least_score)).select(*docs.columns)
 

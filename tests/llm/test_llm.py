@@ -451,6 +451,12 @@ def test_language_bounds_per_language(spark, monkeypatch):
         assert [m.predict(t)[0] for t in (big[0], small[7], "uvwxyzuvwxyz")] == ["big", "small", "unspaced"]
 
 
+def test_language_stage_without_labels(docs, texts):
+    kept = language.identified(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, t in texts if any(map(str.isalpha, t or "")))
+
+
 # ---- 10
 
 
