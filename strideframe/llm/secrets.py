@@ -3,9 +3,10 @@
 Candidates are values assigned to a name that speaks of secrets, runs of at least 16 characters of the usual alphabets
 that hold a digit, and private key blocks. The forest sees length, how usual the transitions between characters are in
 running text, how much of the candidate the words of a dictionary cover, signs of a path, and the words beside it.
-Transitions and dictionary come from a bounded sample of documents (``MOST_DOCS`` by a hash of the id; ``DICTIONARY``
-most frequent words); the forest is fitted on at most about ``MOST_ROWS`` labelled findings. Labelled findings are an
-argument (text, start, end, label); without any, findings of the sample are labelled by format (``weak_label``).
+Transitions and dictionary (the ``DICTIONARY`` most frequent words) are counted over all words of all documents; the
+forest is fitted on at most about ``MOST_ROWS`` labelled findings. Labelled findings are an argument (text, start, end,
+label); without any, findings of a sample of documents (``MOST_DOCS`` by a hash of the id) are labelled by format
+(``weak_label``).
 
 Defined cases: NULL and empty texts have no findings; with labels of one class only, every finding gets that class.
 """
@@ -89,11 +90,11 @@ _OTHER = len(_PLACES)
 class Language:
     """Transitions between characters, and a dictionary, of running text."""
 
-    def __init__(self, words: dict[str, int]):
-        counts = np.ones((_OTHER + 1, _OTHER + 1))
-        for word, k in words.items():
-            at = [_PLACES.get(c, _OTHER) for c in word]
-            np.add.at(counts, (at[:-1], at[1:]), k)
+    def __init__(self, words: list[str], pairs: dict[int, int]):
+        counts = np.ones((_OTHER + 1) ** 2)
+        for pair, k in pairs.items():
+            counts[pair] += k
+        counts = counts.reshape(_OTHER + 1, _OTHER + 1)
         self.usual = np.log2(counts / counts.sum(1, keepdims=True))
         self.words = frozenset(w for w in words if len(w) >= 3)
         self.longest = max(map(len, self.words), default=0)
@@ -170,13 +171,28 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Transitions within the words (``word, n``), summed within the task."""
+    counts = np.zeros((_OTHER + 1) ** 2, np.int64)
+    for batch in batches:
+        for word, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at = [_PLACES.get(c, _OTHER) for c in word]
+            for a, b in zip(at, at[1:]):
+                counts[a * (_OTHER + 1) + b] += k
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["pair", "n"])
+
+
 def fit(docs: DataFrame, labelled: DataFrame | None = None) -> Model:
     """The model of a corpus. ``labelled``: columns text, start, end, kind, label (0 or 1) of reviewed findings."""
     scratch = Scratch(docs.sparkSession, "secrets")
     sample = thinned(docs.select("doc_id", "text"), F.col("doc_id"), MOST_DOCS).select("text")
-    counted = sample.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = scratch.keep(counted, "words")
     top = counted.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
-    language = Language({r["word"]: r["n"] for r in top})
+    pairs = counted.mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    scratch.drop("words")
+    language = Language([r["word"] for r in top], {r["pair"]: r["n"] for r in pairs})
     shared = docs.sparkSession.sparkContext.broadcast(language)
 
     def weak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

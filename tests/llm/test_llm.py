@@ -145,6 +145,21 @@ def test_secrets(spark, none):
     assert {r.doc_id for r in secrets.scan(docs, secrets.fit(docs, labelled)).collect() if r.is_secret} <= set(range(1, 60, 2))
 
 
+def test_secrets_language_of_all_documents(spark, monkeypatch):
+    """Dictionary and transitions do not depend on which documents the forest's rows are taken from."""
+    rng = random.Random(3)
+    rows = [(i, f"common text {''.join(rng.choices('qxz', k=5))} token = \"{rng.randbytes(20).hex()}\"") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(secrets, "MOST_DOCS", 10)
+    got = secrets.fit(docs).language
+    words, counts = Counter(w for _, t in rows for w in secrets._WORD.findall(t.lower())), np.ones((43, 43))
+    for w, k in words.items():
+        for a, b in zip(w, w[1:]):
+            counts[secrets._PLACES[a], secrets._PLACES[b]] += k
+    assert got.words == {w for w in words if len(w) >= 3}
+    assert np.allclose(got.usual, np.log2(counts / counts.sum(1, keepdims=True)))
+
+
 # ---- 3
 
 
