@@ -41,7 +41,9 @@ _ASSIGNED = re.compile(
 _HINT = re.compile(r"[:=]")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 _DIGIT = re.compile(r"[0-9]")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]{0,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----")
+#: Lines of a key after its BEGIN line: headers, empty ones, and base64 of at least 16 characters or with its padding.
+_KEY_LINE = re.compile(r"[ \t]*+(?:(?:[A-Z][A-Za-z-]{2,30}: [^\r\n]*+)|[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]*+={1,2}[A-Za-z0-9+/]{0,4}|)[ \t]*+(?:\r?\n|$)")
 _KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[\w-]+\.[\w-]+\.[\w-]*")
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = re.compile(r"[a-z]{3,}")
@@ -50,11 +52,37 @@ _KINDS = ("assigned", "run", "block")
 Finding = tuple[int, int, str]
 
 
+def _unclosed(text: str, at: int, end: int) -> int:
+    """Where the lines of a key without an END marker end."""
+    done = at
+    m = re.compile(r"[ \t]*+\r?\n").match(text, at, end)
+    while m and m.end() > m.start():
+        if m.group().strip():
+            done = m.start() + len(m.group().rstrip())
+        m = _KEY_LINE.match(text, m.end(), end)
+    return done
+
+
+def _blocks(text: str) -> Iterator[Finding]:
+    """Private keys: a BEGIN marker up to the END marker of its name; if that is missing, the key's lines."""
+    begin: re.Match | None = None
+    for m in _MARK.finditer(text):
+        if m.group(1) == "BEGIN":
+            if begin:
+                yield begin.start(), _unclosed(text, begin.end(), m.start()), "block"
+            begin = m
+        elif begin and m.group(2) == begin.group(2):
+            yield begin.start(), m.end(), "block"
+            begin = None
+    if begin:
+        yield begin.start(), _unclosed(text, begin.end(), len(text)), "block"
+
+
 def candidates(text: str) -> list[Finding]:
     """(start, end, kind) by place; a run that an assignment or a block covers is not listed again."""
     found: list[Finding] = []
     if "PRIVATE KEY" in text:
-        found += [(m.start(), m.end(), "block") for m in _BLOCK.finditer(text)]
+        found += _blocks(text)
     if _HINT.search(text):
         found += [(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)]
     if _DIGIT.search(text):

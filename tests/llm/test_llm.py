@@ -160,6 +160,22 @@ def test_secrets_language_of_all_documents(spark, monkeypatch):
     assert np.allclose(got.usual, np.log2(counts / counts.sum(1, keepdims=True)))
 
 
+@pytest.mark.parametrize("name", ["RSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK", "PRIVATE KEY"])
+def test_secret_blocks(name):
+    rng = random.Random(1)
+    line = lambda: "".join(rng.choices("ABCDEFabcdef0123456789+/", k=64))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    for body in (line(), "\n".join(line() for _ in range(12)), head + line() + "\nab12=", "\n".join(line() for _ in range(400))):
+        key = f"-----BEGIN {name}-----\n{body}\n-----END {name}-----"
+        cut = f"-----BEGIN {name}-----\n{body}"
+        for text in (f"see {key} there - or here", f"{cut}\nplain words follow", f"{cut}\n\n{key}\nplain"):
+            found = secrets.candidates(text)
+            own = [text[s:e] for s, e, _ in found]
+            assert {k for _, _, k in found} == {"block"} and all(secrets.weak_label(text, f) for f in found)
+            assert own == ([cut, key] if text.endswith("plain") else [key if key in text else cut])
+    assert secrets.candidates("-----BEGIN PRIVATE KEY----- only a marker") == [(0, 27, "block")]
+
+
 # ---- 3
 
 
