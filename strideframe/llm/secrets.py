@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest trained on labelled findings.
 
-Candidates are values assigned to a name that speaks of secrets, runs of at least 16 characters of the usual alphabets
-that hold a digit, and private key blocks. The forest sees length, how usual the transitions between characters are in
+Candidates are values assigned to a name that speaks of secrets ("Bearer" is part of the name), runs of at least 16
+characters of the usual alphabets that hold a digit, and private key blocks. A token of known form inside one of the
+first two is the candidate instead; other runs lose a "NAME=" before and full stops after them. The forest sees length, how usual the transitions between characters are in
 running text, how much of the candidate the words of a dictionary cover, signs of a path, and the words beside it.
 Transitions and dictionary (the ``DICTIONARY`` most frequent words) are counted over all words of all documents; the
 forest is fitted on at most about ``MOST_ROWS`` labelled findings. Labelled findings are an argument (text, start, end,
@@ -36,15 +37,30 @@ HARMLESS_WORDS = ("hash", "sha", "md5", "commit", "checksum", "digest", "uuid",
 
 _ASSIGNED = re.compile(
     r"(?i)[a-z_.-]*(?:key|token|secret|passw(?:or)?d|pwd|auth|credential|bearer)[a-z0-9_.-]{0,40}[\"']?\s{0,3}(?::=|=>|[:=])"
-    r"\s{0,3}[\"']?([^\s\"'<>]{6,})"
+    r"\s{0,3}[\"']?(?:(?:bearer|basic|token)\s{1,3})?(?!(?:bearer|basic|token)\s)([^\s\"'<>]{6,})"
 )
+_BEARER = re.compile(r"(?i)\bbearer\s{1,3}([a-z0-9._~+/=-]{16,})")
 _HINT = re.compile(r"[:=]")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----")
 #: Lines of a key after its BEGIN line: headers, empty ones, and base64 of at least 16 characters or with its padding.
 _KEY_LINE = re.compile(r"[ \t]*+(?:(?:[A-Z][A-Za-z-]{2,30}: [^\r\n]*+)|[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]*+={1,2}[A-Za-z0-9+/]{0,4}|)[ \t]*+(?:\r?\n|$)")
-_KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[\w-]+\.[\w-]+\.[\w-]*")
+_KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-[A-Za-z0-9-]{10,}"
+    r"|sk-[A-Za-z0-9_-]{20,}|eyJ[\w-]+\.[\w-]+\.[\w-]*)"
+)
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*=(?=[^=])")
+#: Parts of a run that are no part of a key: words, numbers, versions and hexadecimal digests.
+_BETWEEN = re.compile(r"[/._=~+-]")
+_PLAIN = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*|[A-Za-z]?[0-9]*|(?:0x)?(?:[0-9a-f]{7,}|[0-9A-F]{7,})")
+#: The name of an assigned password, up to its value.
+_PASSWORD = re.compile(r"(?i)(?:passw(?:or)?d|pwd)[a-z0-9_.-]{0,40}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?$")
+#: What stands where a password would: words of documentation, references and calls.
+_NO_PASSWORD = re.compile(
+    r"(?i)(?:required|optional|string|undefined|nullable|invalid|incorrect|expired|missing|forgotten|changed|hidden"
+    r"|redacted|example|boolean|default)[.,;:)]*|[$%{(\[].*|.*[(\[{].*|(.)\1*"
+)
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = re.compile(r"[a-z]{3,}")
 _KINDS = ("assigned", "run", "block")
@@ -78,21 +94,50 @@ def _blocks(text: str) -> Iterator[Finding]:
         yield begin.start(), _unclosed(text, begin.end(), len(text)), "block"
 
 
+def known(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Tokens of known form in a part of the text."""
+    return [(start + m.start(), start + m.end()) for m in _KNOWN.finditer(text[start:end])]
+
+
+def _parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The candidates of a run: its tokens of known form and what is long enough beside them."""
+    tokens, out = known(text, start, end), []
+    for s, e in zip([start, *(e for _, e in tokens)], [*(s for s, _ in tokens), end]):
+        while e > s and text[e - 1] == ".":
+            e -= 1
+        m = _NAME.match(text, s, e)
+        if m and e - m.end() >= 16 and _DIGIT.search(text, m.end(), e):
+            s = m.end()
+        if e - s >= 16 and _DIGIT.search(text, s, e):
+            out.append((s, e))
+    return out + tokens
+
+
+def _add(found: list[Finding], covered: list[tuple[int, int]], made: Iterator[tuple[list[tuple[int, int]], str]]) -> None:
+    """Add what no span of ``covered``, which are in order, overlaps."""
+    i = 0
+    for spans, kind in made:
+        for s, e in sorted(spans):
+            while i < len(covered) and covered[i][1] <= s:
+                i += 1
+            if not (i < len(covered) and covered[i][0] < e):
+                found.append((s, e, kind))
+
+
 def candidates(text: str) -> list[Finding]:
     """(start, end, kind) by place; a run that an assignment or a block covers is not listed again."""
     found: list[Finding] = []
     if "PRIVATE KEY" in text:
         found += _blocks(text)
+    blocks = [(s, e) for s, e, _ in found]
     if _HINT.search(text):
-        found += [(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)]
+        _add(found, blocks, ((known(text, *m.span(1)) or [m.span(1)], "assigned") for m in _ASSIGNED.finditer(text)))
+    if "earer" in text or "EARER" in text:
+        taken = sorted((s, e) for s, e, _ in found)
+        _add(found, taken, ((known(text, *m.span(1)) or [m.span(1)], "assigned") for m in _BEARER.finditer(text)))
     if _DIGIT.search(text):
         covered = sorted((s, e) for s, e, _ in found)
-        i = 0
-        for m in _RUN.finditer(text):
-            while i < len(covered) and covered[i][1] <= m.start():
-                i += 1
-            if _DIGIT.search(m.group()) and not (i < len(covered) and covered[i][0] < m.end()):
-                found.append((m.start(), m.end(), "run"))
+        _add(found, covered, ((_parts(text, *m.span()), "run") for m in _RUN.finditer(text) if _DIGIT.search(m.group())))
     return sorted(found)
 
 
@@ -101,14 +146,37 @@ def entropy(value: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) if n else 0.0
 
 
+def switches(value: str) -> float:
+    """Share of neighbouring characters that differ in kind: small or capital letter, or digit; separators do not count."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "" for c in value]
+    return sum(bool(a and b and a != b) for a, b in zip(kinds, kinds[1:])) / max(1, len(value) - 1)
+
+
+def _harmless(text: str, start: int) -> bool:
+    """Whether one of the three words before names a harmless long value."""
+    return any(w.lower() in HARMLESS_WORDS for w in _WORD.findall(text[max(0, start - 60) : start])[-3:])
+
+
+def password(text: str, start: int, value: str) -> bool:
+    """Whether the value is assigned to the name of a password and is none of the usual words or references."""
+    return bool(_PASSWORD.search(text[max(0, start - 80) : start])) and not _NO_PASSWORD.fullmatch(value[:4096])
+
+
 def weak_label(text: str, finding: Finding) -> int:
-    """A label by format: blocks and known token forms, and long, mixed values assigned to a secret's name."""
+    """A label by format: blocks, known token forms, assigned passwords, long, mixed values assigned to another name of
+    secrets, and bare keys: 20 to 256 characters of mixed kinds in no order, most of them outside words, numbers and
+    hexadecimal parts, and no harmless word before."""
     start, end, kind = finding
     value = text[start:end]
     if kind == "block" or _KNOWN.fullmatch(value):
         return 1
     mixed = bool(_DIGIT.search(value)) and bool(re.search(r"[A-Za-z]", value))
-    return int(kind == "assigned" and len(value) >= 12 and mixed and entropy(value) >= 3.0)
+    if kind == "assigned":
+        return int(password(text, start, value) or (len(value) >= 12 and mixed and entropy(value) >= 3.0))
+    if not (20 <= len(value) <= 256 and mixed and switches(value) >= 0.3 and entropy(value) >= 3.5) or _harmless(text, start):
+        return 0
+    opaque = sum(len(p) for p in _BETWEEN.split(value) if not _PLAIN.fullmatch(p))
+    return int(opaque >= 20 and 2 * opaque >= len(value))
 
 
 _PLACES = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789+/_=.-")}
@@ -162,7 +230,8 @@ def features(text: str, finding: Finding, language: Language) -> list[float]:
         float(bool(re.search(r"\.[A-Za-z]{2,4}$", value))), float(value.count(".")),
         float(bool(re.search(r"[:=]\s{0,3}[\"']?$", before))), float(before[-1:] in ("'", '"')),
         float(any(w in SECRET_WORDS for w in near)), float(any(w in HARMLESS_WORDS for w in near)),
-        float(sum(w in language.words for w in near)),
+        float(sum(w in language.words for w in near)), switches(short), float(_harmless(text, start)),
+        float(kind == "assigned" and password(text, start, value)),
     ]
 
 
