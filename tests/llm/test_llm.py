@@ -461,6 +461,31 @@ def test_personal(spark, none):
     assert level.tolist() == [0.1, 0.2, 0.4, 0.9] and chance.tolist() == [0, 0.5, 0.5, 1]
 
 
+def test_personal_loose_spans(spark):
+    """Written-out e-mails and national phone numbers are added, plain numbers are not, with and without labels."""
+    rng = random.Random(16)
+    digits = lambda n: "".join(rng.choices("123456789", k=n))
+    rows = []
+    for i in range(300):
+        base = [f"jo{digits(3)}@host{i}.example.com", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"10.{i % 256}.31.114", f"{digits(11)} of"]
+        rows.append((i, f"some words {base[i % 4]} and others"))
+    plants = [("email", "jane (at) example.com"), ("phone", "(555) 123-4567"), ("phone", "0171 1234567"), ("email", "jo.doe [at] mail.example.org")]
+    rows += [(1000 + i, f"more text {own} ends here.") for i, (_, own) in enumerate(plants)]
+    plain = ["1234567890", "12345678", "2024-01-02 10:22:33", "1200 345678", "jane (at) work"]
+    rows += [(2000 + i, f"more text {own} ends here.") for i, own in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1000 + i: f"{kind}:10:{10 + len(own)}" for i, (kind, own) in enumerate(plants)} | {2000 + i: "" for i in range(len(plain))}
+    made = {r.doc_id: r for r in personal.digest(docs).collect()}
+    assert {i: made[i].spans for i in want} == want and all(made[i].n_email == made[i].n_phone == 0 for i in want)
+    gone = {r.doc_id: r.text for r in personal.redacted(docs, personal.fit(docs)).collect()}
+    assert gone[1000] == "more text [email] ends here." and gone[1001] == "more text [phone] ends here."
+    found = [(f"text {own}", 5, 5 + len(own), "phone", label) for _ in range(80) for own, label in
+             ((f"{digits(3)}.{digits(6)}", 1), (digits(9), 0))]
+    labelled = spark.createDataFrame(found, "text string, start int, end int, kind string, label int")
+    model = personal.fit(docs, labelled)
+    assert model.spans("text 123.456789")[1] == [(5, 15, 3)] and model.spans("text 123456789")[1] == []
+
+
 # ---- 9
 
 
