@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, decontamination, language, nearest, passages, personal, secrets, similar, token_counts, token_files
+from strideframe.llm import (
+    bpe, decontamination, language, nearest, packing, passages, personal, secrets, similar, spellings, token_counts, token_files,
+    whitening,
+)
 from strideframe.llm.stages import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +56,26 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digest(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.digest(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op12_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.digest(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
+def op13_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    return spellings.digest(documents(spark, sf))
+
+
+_QUERIES = (
+    op1_decontamination, op2_secrets, op3_similar, op4_passages, op5_token_files, op6_nearest, op7_token_counts, op8_personal_data,
+    op9_language, op10_byte_bpe, op11_whitening, op12_packing, op13_spellings,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_similar, op4_passages, op5_token_files, op6_nearest, op7_token_counts, op8_personal_data, op9_language, op10_byte_bpe)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
