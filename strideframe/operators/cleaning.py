@@ -96,10 +96,10 @@ def route(packets: DataFrame, kind: str) -> DataFrame:
     return packets.where(declared == kind)
 
 
-def packet_samples(packets: DataFrame) -> DataFrame:
-    """Valid sensor packets as flat samples.
+def with_packet_axes(packets: DataFrame) -> DataFrame:
+    """Adds the axes, ``unit`` and ``_fine`` to sensor packets.
 
-    Dropped: no accelerometer or gyroscope (or an empty one), any axis present but not a number. A missing axis is 0.
+    Not fine: no accelerometer or gyroscope (or an empty one), any axis present but not a number. A missing axis is 0.
     """
 
     def axis(group: str, part: str) -> tuple[Column, Column]:
@@ -117,12 +117,16 @@ def packet_samples(packets: DataFrame) -> DataFrame:
             axes[name] = value
             fine = fine & ok
     return (
-        packets.where(fine).withColumns(axes)
-        .withColumn("unit", F.coalesce("unit", F.lit("m/s2")))
+        packets.withColumns(axes | {"_fine": fine}).withColumn("unit", F.coalesce("unit", F.lit("m/s2")))
         .drop("accelerometer", "gyroscope")
     )
 
 
+def packet_samples(packets: DataFrame) -> DataFrame:
+    """Valid sensor packets as flat samples."""
+    return with_packet_axes(packets).where("_fine").drop("_fine")
+
+
 def epoch_seconds(c: Column) -> Column:
     """Packet time stamps may be seconds or milliseconds; anything above 1e11 is taken as milliseconds."""
     return F.when(c > 1e11, c / 1000.0).otherwise(c)

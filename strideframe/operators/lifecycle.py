@@ -159,7 +159,8 @@ def dispatches(
     limit: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per escalation (each HELP response, each expired timer) with the location known at that moment."""
-    responses = classified(actions.where("kind = 'response'")).where(F.col("what").isin("OK", "HELP"))
+    answers = _since_detection(falls, actions.where("kind = 'response'"))
+    responses = classified(answers).where(F.col("what").isin("OK", "HELP"))
     # Locations travel along the responses of an event; only HELP rows are kept.
     located = carried(
         responses, ["event_id"], ["ts", "seq"], micros("ts"),

@@ -37,9 +37,11 @@ outcomes AS (
 )"""
 
 OUTCOMES_SQL = f"{Q.timeline()},{_FOLD_SQL}"
-# The same when the stream ends: a timer due after the last row has not fired.
-_LAST_ROW = "(SELECT max(ts) FROM (SELECT ts FROM falls UNION ALL SELECT ts FROM actions WHERE what <> 'NOTE'))"
-OUTCOMES_AT_END_SQL = f"{Q.timeline(_LAST_ROW)},{_FOLD_SQL}"
+
+
+def outcomes_sql(as_of: str, keep: str) -> str:
+    """The same as known at ``as_of``, by actions for which ``keep`` holds."""
+    return f"{Q.timeline(as_of, keep)},{_FOLD_SQL}"
 
 
 @query(
@@ -70,7 +72,7 @@ def first_response_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.first_resolution(falls(spark, sf), actions(spark, sf), TIMEOUT)
 
 
-_DISPATCHED = f"""{Q.timeline()},
+_DISPATCHED = """
 located AS (
   SELECT *, last_value(CASE WHEN what IN ('OK', 'HELP') THEN lat END IGNORE NULLS) OVER o AS l1,
     last_value(CASE WHEN what IN ('OK', 'HELP') THEN lon END IGNORE NULLS) OVER o AS l2
@@ -85,10 +87,17 @@ sent AS (
     coalesce(u.name, 'Monitored User') AS user_name,
     coalesce(nullif(u.emergency_contact_name, ''), 'Designated Caregiver') AS contact_name,
     coalesce(nullif(u.emergency_contact_phone, ''), '+15550199') AS contact_phone
-  FROM located l JOIN falls f USING (event_id) LEFT JOIN {{users}} u ON u.id = f.user_id
+  FROM located l JOIN falls f USING (event_id) LEFT JOIN users u ON u.id = f.user_id
   WHERE l.what IN ('HELP', 'TIMEOUT')
 )"""
-_SENT = f"{Q.USERS}, " + _DISPATCHED.replace("{users}", "users")
+
+
+def sent_sql(timeline: str) -> str:
+    """CTEs up to ``sent``: one row per escalation."""
+    return f"{Q.USERS}, {timeline},{_DISPATCHED}"
+
+
+_SENT = sent_sql(Q.timeline())
 
 
 def _dispatched(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,7 +233,9 @@ def global_cooldown(spark: SparkSession, sf: str) -> DataFrame:
 _OUTCOME_MESSAGES = f"""WITH {OUTCOMES_SQL}
 SELECT event_id, 'monitors,devices' AS audience,
   '{{"type":"FALL_CONFIRMATION_RESOLVED","data":{{"event_id":' || event_id || ',"status":"' || status
-  || '","device_id":"' || device_id || '","message":"'
+  || '","device_id":"' || device_id
+  || CASE WHEN status = 'CONFIRMED' THEN CASE WHEN timed_out THEN '","reason":"TIMEOUT' ELSE '","reason":"MANUAL_HELP_REQUEST' END
+     ELSE '' END || '","message":"'
   || CASE WHEN status = 'CONFIRMED' THEN 'Fall confirmed ('
        || CASE WHEN timed_out THEN 'TIMEOUT' ELSE 'MANUAL_HELP_REQUEST' END || '). Emergency alert dispatched.'
      ELSE 'User confirmed safe. Alert cancelled.' END || '"}}}}' AS value
@@ -235,7 +246,7 @@ FROM outcomes WHERE status IN ('CONFIRMED', 'CANCELLED_BY_USER')"""
 def confirmation_messages(spark: SparkSession, sf: str) -> DataFrame:
     done = lifecycle.confirmation_messages(lifecycle.event_outcomes(falls(spark, sf), actions(spark, sf), TIMEOUT))
     kind = "FALL_CONFIRMATION_RESOLVED"
-    body = F.struct("event_id", "status", "device_id", "message")
+    body = F.struct("event_id", "status", "device_id", F.when(F.col("status") == "CONFIRMED", F.col("reason")).alias("reason"), "message")
     return done.select("event_id", writers.audience(F.lit(kind)).alias("audience"),
                        writers.message(kind, body).alias("value"))
 

@@ -186,7 +186,7 @@ def vector_magnitudes(spark: SparkSession, sf: str) -> DataFrame:
     return features.with_signals(samples(spark, sf)).select(*_KEY, r("acc_mag"), r("gyro_mag"))
 
 
-def _packet_text(spark: SparkSession, sf: str) -> DataFrame:
+def packet_text(spark: SparkSession, sf: str) -> DataFrame:
     """JSON messages of every kind and with every defect, one per event."""
     e, v = F.col("event_id"), F.col("value")
     acc = F.concat(F.lit('{"x":'), v.cast("string"), F.lit(',"y":'), (v * 2).cast("string"), F.lit(',"z":1.5}'))
@@ -215,7 +215,7 @@ def _packet_text(spark: SparkSession, sf: str) -> DataFrame:
         .when(k == 10, packet(kind, head, F.lit('"unit":"MS^-2"'), a, g))
         .otherwise(packet(kind, head, F.lit('"location":{"lat":37.5,"lon":-122.25}'), a, g))
     )
-    return table(spark, sf, "events").select(e.alias("packet_no"), text.alias("value"))
+    return table(spark, sf, "events").select(e.alias("packet_no"), "ts", "user_id", text.alias("value"))
 
 
 @query(
@@ -229,7 +229,7 @@ def _packet_text(spark: SparkSession, sf: str) -> DataFrame:
 FROM (SELECT *, event_id % 13 AS k FROM events) WHERE k IN (3, 5, 9, 10, 11, 12)""",
 )
 def valid_packet_samples(spark: SparkSession, sf: str) -> DataFrame:
-    good, _ = readers.split_rejects(readers.parse_packets(_packet_text(spark, sf)))
+    good, _ = readers.split_rejects(readers.parse_packets(packet_text(spark, sf)))
     flat = cleaning.normalise_units(cleaning.packet_samples(cleaning.route(good, "sensor_data")))
     return flat.select("packet_no", "device_id", "timestamp", *_axes(), F.col("location.lat").alias("lat"))
 
@@ -241,7 +241,7 @@ def valid_packet_samples(spark: SparkSession, sf: str) -> DataFrame:
 FROM (SELECT event_id % 13 AS k FROM events) GROUP BY 1""",
 )
 def message_routes(spark: SparkSession, sf: str) -> DataFrame:
-    good, bad = readers.split_rejects(readers.parse_packets(_packet_text(spark, sf)))
+    good, bad = readers.split_rejects(readers.parse_packets(packet_text(spark, sf)))
     parts = [bad.select(F.lit("rejected").alias("route"))]
     parts += [
         cleaning.route(good, k).select(F.lit(k).alias("route"))

@@ -190,8 +190,9 @@ FALLS = """falls AS (
 )"""
 
 ACTIONS = """tied AS (
-  SELECT *, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (
-    PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS fall_id FROM events
+  SELECT *, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER o AS fall_id,
+    last_value(CASE WHEN event_type = 'error' THEN ts END IGNORE NULLS) OVER o AS fall_ts
+  FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
 ),
 actions AS (
   SELECT fall_id AS event_id, ts, event_id AS seq,
@@ -204,13 +205,14 @@ actions AS (
     CASE WHEN event_type IN ('click', 'purchase') AND event_id % 2 = 0
       THEN (event_id % 170) / CAST(2 AS DOUBLE) - 40 END AS lat,
     CASE WHEN event_type IN ('click', 'purchase') AND event_id % 4 = 0
-      THEN (event_id % 350) / CAST(2 AS DOUBLE) - 80 END AS lon
+      THEN (event_id % 350) / CAST(2 AS DOUBLE) - 80 END AS lon, fall_ts
   FROM tied WHERE event_type <> 'error' AND fall_id IS NOT NULL
 )"""
 
 
-def timeline(as_of: str = "TIMESTAMP '9999-12-31 00:00:00'") -> str:
-    """The log with the timer written in as an action of its own, in order of effect, as known at ``as_of``."""
+def timeline(as_of: str = "TIMESTAMP '9999-12-31 00:00:00'", keep: str = "TRUE") -> str:
+    """The log with the timer written in as an action of its own, in order of effect, as known at ``as_of``.
+    ``keep``: a condition on actions."""
     return f"""{FALLS}, {ACTIONS},
 opened AS (
   SELECT f.*, f.ts + INTERVAL 6 HOUR AS due,
@@ -218,7 +220,7 @@ opened AS (
   FROM falls f
 ),
 timeline AS (
-  SELECT event_id, ts, 1 AS late, seq, what, "by", note, lat, lon FROM actions
+  SELECT event_id, ts, 1 AS late, seq, what, "by", note, lat, lon FROM actions WHERE ts <= {as_of} AND {keep}
   UNION ALL
   SELECT event_id, due, 0, -1, 'TIMEOUT', NULL, NULL, NULL, NULL FROM opened
   WHERE (first_response IS NULL OR first_response >= due) AND due <= {as_of}

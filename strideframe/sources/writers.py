@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideframe.schemas import AXES, CONFIRM_TIMEOUT_SECONDS
 
 # Message types; the three FALL_* kinds also go to devices.
 MESSAGE_TYPES = (
@@ -83,6 +84,71 @@ def activity_messages(predictions: DataFrame) -> DataFrame:
     )
 
 
+ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
+
+
+def _typed(kind: Column, value: Column, *more: str) -> list[Column]:
+    return [*[F.col(c) for c in more], kind.alias("type"), audience(kind).alias("audience"), value.alias("value")]
+
+
+def fall_messages(changes: DataFrame, timeout: float = CONFIRM_TIMEOUT_SECONDS) -> DataFrame:
+    """FALL_PENDING_CONFIRMATION for detected falls and FALL_CONFIRMATION_RESOLVED for cancelled and confirmed ones.
+
+    ``changes``: event_id, ts, seq, status, reason and the facts of the fall. Acknowledgements send nothing.
+    """
+    opened = F.struct(
+        F.col("event_id").alias("id"), "event_id", "device_id", "user_id", F.date_format("ts", ISO_TIME).alias("timestamp"),
+        F.bround("confidence", 4).alias("confidence"), "risk_level", F.lit(float(timeout)).alias("timeout_seconds"),
+        "safety_override", "ml_activity", F.bround("fall_probability", 4).alias("ml_fall_probability"),
+        F.lit("Possible fall detected. Are you okay?").alias("message"),
+    )
+    safe = F.col("status") == "CANCELLED_BY_USER"
+    ended = F.struct("event_id", "status", "device_id", F.when(~safe, F.col("reason")).alias("reason"), F.when(
+        safe, "User confirmed safe. Alert cancelled."
+    ).otherwise(F.concat(F.lit("Fall confirmed ("), "reason", F.lit("). Emergency alert dispatched."))).alias("message"))
+    pending = F.col("status") == "PENDING_CONFIRMATION"
+    kind = F.when(pending, "FALL_PENDING_CONFIRMATION").otherwise("FALL_CONFIRMATION_RESOLVED")
+    value = F.when(pending, message("FALL_PENDING_CONFIRMATION", opened, "event")).otherwise(
+        message("FALL_CONFIRMATION_RESOLVED", ended)
+    )
+    told = changes.where(F.col("status").isin("PENDING_CONFIRMATION", "CANCELLED_BY_USER", "CONFIRMED"))
+    return told.select(*_typed(kind, value, "event_id", "ts", "seq"))
+
+
+def alert_messages(alerts: DataFrame) -> DataFrame:
+    """FALL_ALERT for rows of ``lifecycle.direct_alert_text``; peaks are sent where the rows have them."""
+    body = F.struct(
+        F.col("event_id").alias("id"), F.date_format("ts", ISO_TIME).alias("timestamp"), "confidence", "risk_level", "status",
+        "device_id", *[c for c in ("acc_peak", "gyro_peak") if c in alerts.columns], F.col("alert_message").alias("message"),
+    )
+    return alerts.select(*_typed(F.lit("FALL_ALERT"), message("FALL_ALERT", body, "event"), "event_id", "ts"))
+
+
+def tick_messages(ticks: DataFrame, origin: str = "REAL_PHONE") -> DataFrame:
+    """SENSOR_TICK for display ticks: stream_key, n, ts, device_id and one value per axis."""
+    size = F.sqrt(F.col("acc_x") * F.col("acc_x") + F.col("acc_y") * F.col("acc_y") + F.col("acc_z") * F.col("acc_z"))
+
+    def shown(a: str) -> Column:
+        return F.bround(a, 4).alias(a)
+
+    body = F.struct(
+        F.date_format("ts", "HH:mm:ss.SSS").alias("timestamp"), *[shown(a) for a in AXES[:3]],
+        F.bround(size, 3).alias("acc_magnitude"), *[shown(a) for a in AXES[3:]], F.lit(origin).alias("ground_truth"), "device_id",
+    )
+    return ticks.select(*_typed(F.lit("SENSOR_TICK"), message("SENSOR_TICK", body), "stream_key", "n", "ts"))
+
+
+def status_messages(changes: DataFrame) -> DataFrame:
+    """DEVICE_STATUS_UPDATE for devices that connected or disconnected (``jobs.connections``)."""
+    up = F.col("kind") == "CONNECTED"
+    body = F.struct(
+        F.col("stream_key").alias("device_id"), up.alias("connected"), F.date_format("last_seen", ISO_TIME).alias("last_seen"),
+        F.when(~up, F.col("samples")).alias("samples_received"),
+    )
+    told = changes.where(F.col("kind").isin("CONNECTED", "DISCONNECTED"))
+    return told.select(*_typed(F.lit("DEVICE_STATUS_UPDATE"), message("DEVICE_STATUS_UPDATE", body), "stream_key", "ts"))
+
+
 def append_once(df: DataFrame, path: str, query: str, batch_id: int) -> None:
     """Append one micro-batch. A replayed batch overwrites its own folder, so nothing is written twice."""
     df.write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch_id}")

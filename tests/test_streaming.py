@@ -1,14 +1,21 @@
 """Several micro-batches give what one batch job gives."""
 
 import json
+import random
+import tracemalloc
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from strideframe import schemas as S
-from strideframe.operators import windows
-from strideframe.streaming import jobs
+from strideframe.operators import lifecycle, windows
+from strideframe.sources import writers
+from strideframe.streaming import jobs, sinks
+from strideframe.streaming.processors import DeviceBuffer
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -61,17 +68,125 @@ def test_ticks_and_location(streamed):
     assert {r["lat"] for r in out.where("stream_key = '1_a' AND n > 31").collect()} == {37.5}
 
 
-def test_inference_sink(spark, streamed, tmp_path):
+def test_inference_tables(spark, streamed, tmp_path):
     _, out = streamed
-    write = jobs.inference_sink(str(tmp_path))
+    tables = sinks.BatchTables(spark, str(tmp_path))
+    write = tables.sink(sinks.inference_tables())
     for _ in range(2):  # a replayed batch is written once
         write(out, 0)
-    audit = spark.read.parquet(str(tmp_path / "audit"))
-    assert audit.count() == 6
-    fell = spark.read.parquet(str(tmp_path / "falls"))
-    assert {(r["stream_key"], r["n"]) for r in fell.collect()} == {("1_a", 164)}
-    message = json.loads(spark.read.parquet(str(tmp_path / "messages")).first()["value"])
+    assert tables.read("audit").count() == 6
+    assert {(r["stream_key"], r["n"]) for r in tables.read("falls").collect()} == {("1_a", 164)}
+    message = json.loads(tables.read("messages").first()["value"])
     assert message["type"] == "ACTIVITY_UPDATE" and "risk_level" in message["data"]
+    tick = json.loads(tables.read("ticks").where("stream_key = '2_b' AND n = 2").first()["value"])["data"]
+    assert tick["timestamp"] == "00:00:00.020" and tick["acc_x"] == 0.35 and tick["device_id"] == "2_b"
+
+
+def test_tables_after_a_failure(spark, tmp_path):
+    """A batch that dies between two tables is run again: no table loses or repeats a row, and none shows half a batch."""
+    kind = "id long, ts timestamp"
+    rows = feed(spark, tmp_path, [[(b * 10 + i, T0) for i in range(5)] for b in range(4)], kind)
+    tables = sinks.BatchTables(spark, str(tmp_path / "t"))
+    died = []
+
+    def made(batch, keep):
+        if batch.where("id >= 20").isEmpty() or died:
+            return {"low": batch.where("id % 2 = 0"), "high": keep(batch.where("id % 2 = 1")), "all": batch}
+        died.append(1)
+        broken = F.when(F.col("id") > 22, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id")
+        return {"low": batch.where("id % 2 = 0"), "high": batch.select(broken, "ts"), "all": batch}
+
+    with pytest.raises(Exception, match="lost"):
+        sinks.run_tables(rows, made, str(tmp_path / "t"))
+    assert sorted(r.id for r in tables.read("low").collect()) == [0, 2, 4, 10, 12, 14]  # the third batch is not shown
+    assert (tmp_path / "t" / "low" / "batch=2").exists() and not (tmp_path / "t" / "all" / "batch=2").exists()
+    sinks.run_tables(rows, made, str(tmp_path / "t"))
+    want = [b * 10 + i for b in range(4) for i in range(5)]
+    assert sorted(r.id for r in tables.read("all").collect()) == want
+    assert sorted(r.id for name in ("low", "high") for r in tables.read(name).collect()) == want
+    tables.write(3, {"low": rows, "high": rows, "all": rows})  # committed: left alone
+    assert tables.read("all").count() == 20 and sorted(r.batch for r in tables.batches().collect()) == [0, 1, 2, 3]
+    assert sinks.BatchTables(spark, str(tmp_path / "none")).batches().count() == 0
+
+
+class Memory:
+    """State of one key without a cluster."""
+
+    def __init__(self):
+        self.rows, self.timers = None, set()
+
+    def getValueState(self, *_):
+        return Memory()
+
+    getListState = getValueState
+
+    def exists(self):
+        return self.rows is not None
+
+    def get(self):
+        return iter(self.rows or []) if isinstance(self.rows, list) else self.rows
+
+    def update(self, row):
+        self.rows = row
+
+    put = update
+
+    def appendValue(self, row):
+        self.rows = [*(self.rows or []), row]
+
+    def clear(self):
+        self.rows = None
+
+
+def chunks(n, size, start=0):
+    for a in range(start, start + n, size):
+        i = np.arange(a, min(a + size, start + n))
+        yield pd.DataFrame({"ts": i * 20_000, **{x: np.sin(i / 50 + j) for j, x in enumerate(S.AXES)},
+                            "lat": np.where(i % 1000 == 0, i * 1.0, np.nan), "lon": np.nan})
+
+
+@pytest.mark.parametrize("rule", [windows.PHONE_RULE, windows.REPLAY_RULE, windows.DEVICE_RULE, windows.WindowRule(40, 7, 3, "front")])
+def test_chunks_make_no_difference(rule):
+    def run(parts, size):
+        buffer, out, at = DeviceBuffer(rule, 150), [], 0
+        buffer.init(Memory())
+        for n in parts:
+            out += list(buffer.handleInputRows(("k",), chunks(n, size, at), None))
+            at += n
+        held = list(buffer.blocks.get())
+        return pd.concat(out).sort_values(["kind", "n"], kind="stable"), buffer.counters.get(), sum(b[0] for b in held)
+
+    whole, counters, _ = run([3000], 3000)
+    for parts, size in (([3000], 64), ([1] * 90 + [10, 1900, 1000], 77), ([130, 130, 130, 2610], 1000)):
+        other, own, held = run(parts, size)
+        assert own[0] == 3000 and own[2] == counters[2] == 2000.0 and 150 <= held <= 2 * max(150, rule.size)
+        for c in ("n", "ts", "lat"):
+            assert np.array_equal(whole[c], other[c], equal_nan=True)
+        assert all(np.array_equal(a, b) for a, b in zip(whole["gyro_y"], other["gyro_y"]))
+
+
+def test_one_device_with_very_many_samples_in_a_batch():
+    buffer, made = DeviceBuffer(windows.PHONE_RULE), 0
+    buffer.init(Memory())
+    tracemalloc.start()
+    for frame in buffer.handleInputRows(("k",), chunks(2_000_000, 10_000), None):
+        made += (frame["kind"] == "window").sum()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == (2_000_000 - 64) // 25 + 1 and peak < 64 << 20
+    with pytest.raises(ValueError, match="order"):
+        list(buffer.handleInputRows(("k",), (c[::-1] for c in chunks(10, 10)), None))
+
+
+def test_rows_of_a_batch_come_in_order(spark, tmp_path):
+    """Many source tasks, shuffled rows: windows as if the samples had come one by one."""
+    rows = [sample(1, "a", i) for i in range(3000)]
+    spark.createDataFrame(rows, SAMPLES).orderBy(F.rand(3)).repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SAMPLES).parquet(str(tmp_path / "in"))
+    out = jobs.run_to_end(jobs.device_windows(stream), str(tmp_path / "o")).where("kind = 'window'").collect()
+    want = {r["win_end"]: r["acc_x"] for r in windows.window_arrays(
+        spark.createDataFrame(rows, SAMPLES), ["device_id"], ["ts", "seq"], F.col("seq")).collect()}
+    assert {r["n"]: r["acc_x"] for r in out} == want
 
 
 def test_confirmations(spark, tmp_path):
@@ -86,7 +201,7 @@ def test_confirmations(spark, tmp_path):
         [row(2, 95, 11, "HELP"), row(9, 96, 12, "HELP")],
     ]
     log = feed(spark, tmp_path, batches, "event_id long, ts timestamp, seq long, what string")
-    out = jobs.run_to_end(jobs.confirmations(log, 15.0), str(tmp_path / "o"))
+    out = jobs.run_to_end(jobs.confirmations(log, 15.0, "0 seconds"), str(tmp_path / "o"))
     seen = {}
     for r in out.orderBy("ts", "seq").collect():
         seen.setdefault(r["event_id"], []).append((r["status"], r["reason"]))
@@ -98,6 +213,111 @@ def test_confirmations(spark, tmp_path):
     assert seen[9] == [("PENDING_CONFIRMATION", None), ("CONFIRMED", "MANUAL_HELP_REQUEST")]
 
 
+LOG = ("event_id long, ts timestamp, seq long, what string, by string, lat double, lon double, user_id long, device_id string, "
+       "confidence double, risk_level string")
+
+
+def random_log(rng):
+    falls, acts = [], []
+    for e in range(1, 40):
+        at = rng.randrange(0, 3000)
+        place = rng.choice([None, 10.0 + e])
+        falls.append((e, T0 + timedelta(seconds=at), 0, "FALL", None, place, place, None if e % 5 == 0 else e, f"d{e % 3}", 0.9, "HIGH"))
+        for _ in range(rng.randrange(5)):
+            what = rng.choice(["OK", "HELP", "UNKNOWN", "ACK"])
+            lat = rng.choice([None, 50.0 + len(acts)]) if what in ("OK", "HELP") else None
+            acts.append((e, T0 + timedelta(seconds=at + rng.choice([-5, 0, 3, 14, 15, 16, 40, 400])), len(acts) + 1, what,
+                         "op" if what == "ACK" else None, lat, lat, None, None, None, None))
+    return falls, acts
+
+
+def test_confirmations_in_any_order_of_arrival(spark, tmp_path):
+    """Rows that come up to the lateness bound behind others give what one batch job gives."""
+    rng = random.Random(9)
+    falls, acts = random_log(rng)
+    end = (99, T0 + timedelta(seconds=9000), 999, "UNKNOWN", *[None] * 7)
+    rows = sorted(falls + acts, key=lambda r: r[1].timestamp() + rng.uniform(0, 100))
+    batches = [rows[i : i + 40] for i in range(0, len(rows), 40)] + [[end]]
+    out = jobs.run_to_end(jobs.confirmations(feed(spark, tmp_path, batches, LOG), 15.0, "100 seconds"), str(tmp_path / "o")).cache()
+    assert out.where("status = 'LATE'").count() == 0
+    fell = spark.createDataFrame(falls, LOG).withColumnsRenamed({"lat": "location_lat", "lon": "location_lon"}).drop("by")
+    done = spark.createDataFrame(acts, LOG).withColumns({
+        "kind": F.when(F.col("what") == "ACK", "acknowledge").otherwise("response"), "action": F.col("what")})
+    want = {r.event_id: (r.status, r.location_lat) for r in lifecycle.event_outcomes(fell, done, 15.0).collect()}
+    last = out.where("status <> 'NOT_OPEN'").groupBy("event_id").agg(F.max_by(F.struct("status", "lat"), F.struct("ts", "seq")).alias("s"))
+    assert {r.event_id: tuple(r.s) for r in last.collect()} == want
+    sent = {(r.event_id, r.ts, r.seq, r.reason, r.lat, r.device_id) for r in out.where("status = 'CONFIRMED'").collect()}
+    asked = lifecycle.dispatches(fell, done, 15.0)
+    early = {(r.event_id, r.seq) for r in out.where("status = 'NOT_OPEN'").collect()}
+    assert sent == {(r.event_id, r.dispatched_at, r.dispatch_seq, r.reason, r.location_lat, r.device_id) for r in asked.collect()}
+    before = {e[0]: e[1] for e in falls}
+    assert early - {(99, 999)} == {(a[0], a[2]) for a in acts if a[1] < before[a[0]]}
+
+
+def test_late_rows_and_forgotten_falls(spark, tmp_path):
+    def row(event, at, seq, what):
+        return (event, T0 + timedelta(seconds=at), seq, what, None, None, None, 7, "d", 0.5, "HIGH")
+
+    batches = [[row(b * 10 + i, b * 100 + i, 1, "FALL") for i in range(10)] for b in range(8)]
+    batches[3] += [row(900, 150, 2, "FALL"), row(20, 209, 3, "OK")]  # watermark 199: the first is late
+    batches[5] += [row(900, 500, 4, "OK"), row(1, 500, 5, "HELP")]  # never opened; forgotten after 300 seconds
+    batches[6] += [row(41, 600, 6, "HELP")]
+    changes = jobs.confirmations(feed(spark, tmp_path, batches, LOG), 15.0, "10 seconds", keep=300.0)
+    tables = sinks.BatchTables(spark, str(tmp_path / "t"))
+    users = spark.createDataFrame([(7, "Ann", "Bob", "+1")], "id long, name string, emergency_contact_name string, emergency_contact_phone string")
+    query = jobs.run_batches(changes, tables.sink(sinks.confirmation_tables(users)), str(tmp_path / "t"))
+    aside = {(r.event_id, r.seq, r.code) for r in tables.read("rejects").collect()}
+    assert aside == {(900, 2, "LATE"), (900, 4, "NOT_OPEN"), (1, 5, "NOT_OPEN")}
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+    assert max(held) < 300 and held[-1] <= held[5]  # falls, alarms and timers of about 300 seconds
+    alerts = {(r.event_id, r.reason): r for r in tables.read("alerts").collect()}
+    assert alerts[41, "MANUAL_HELP_REQUEST"].message == "CRITICAL: Confirmed Fall for Ann on d. Emergency contact notified."
+    assert alerts[0, "TIMEOUT"].emergency_contact == "Bob (+1)" and (20, "TIMEOUT") not in alerts
+    kinds = Counter(json.loads(r.value)["type"] for r in tables.read("messages").collect())
+    assert kinds["FALL_PENDING_CONFIRMATION"] == 80 and kinds["FALL_CONFIRMATION_RESOLVED"] == len(alerts) + 1
+
+
+def test_connections(spark, tmp_path):
+    def row(device, *seconds):
+        return [(device, T0 + timedelta(seconds=s)) for s in seconds]
+
+    batches = [row("a", 0, 5, 9) + row("b", 2), row("a", 12, 30, 31), row("b", 60) + row("a", 25), row("c", 61), row("c", 95)]
+    seen = feed(spark, tmp_path, batches, "device string, ts timestamp")
+    out = jobs.run_to_end(jobs.connections(seen, F.col("device"), 10.0, "5 seconds"), str(tmp_path / "o"))
+
+    def at(t):
+        return (t.replace(tzinfo=timezone.utc) - T0).total_seconds()
+
+    got = {(r.stream_key, at(r.connected_at), at(r.last_seen), r.samples, r.connected) for r in jobs.sessions(out).collect()}
+    assert got == {("a", 0, 12, 4, False), ("a", 30, 31, 2, False), ("b", 2, 2, 1, False), ("b", 60, 60, 1, False),
+                   ("c", 61, 61, 1, False), ("c", 95, 95, 1, True)}
+    told = sorted((r.kind, at(r.ts)) for r in out.where("stream_key = 'a' AND kind <> 'SEEN'").collect())
+    assert told == [("CONNECTED", 0), ("CONNECTED", 30), ("DISCONNECTED", 22), ("DISCONNECTED", 41), ("LATE", 25)]
+    messages = [json.loads(r.value)["data"] for r in writers.status_messages(out).where("stream_key = 'b'").orderBy("ts").collect()]
+    assert [m["connected"] for m in messages] == [True, False, True, False] and messages[1]["samples_received"] == 1
+
+
+def test_cooldown_keeps_columns(spark, tmp_path):
+    batches = [[("d", T0, 1, None, 2**60 + 1), ("d", T0 + timedelta(seconds=9), 2, 0.1, None)]]
+    alerts = feed(spark, tmp_path, batches, "device_id string, ts timestamp, seq long, confidence double, big long")
+    out = jobs.run_to_end(jobs.cooled_down(alerts, F.col("device_id"), 5.0), str(tmp_path / "o")).orderBy("seq").collect()
+    assert [(r.clock, r.device_id, r.confidence, r.big) for r in out] == [("d", "d", None, 2**60 + 1), ("d", "d", 0.1, None)]
+
+
+def test_ingest_tables(spark, tmp_path):
+    good = '{"accelerometer":{"x":9.80665,"y":0,"z":0},"gyroscope":{"x":1,"y":0},"timestamp":5,"device_id":"p","location":{"lat":1,"lon":2}}'
+    batches = [[(good, 1), ("{broken", 1), (good, 2), (None, 1)],
+               [('{"type":"fall_confirmation","event_id":4,"action":"OK"}', 9), ('{"type":"ping"}', 1), ('{"accelerometer":{"x":1}}', 1)]]
+    lines = feed(spark, tmp_path, batches, "value string, sender long")
+    users = spark.createDataFrame([(1,), (1,)], "id long")
+    judged = jobs.judged_packets(lines, users, F.col("sender"))
+    tables = sinks.run_tables(judged, sinks.ingest_tables, str(tmp_path / "t"))
+    assert [(r.user_id, r.acc_x, r.gyro_z, r.lat) for r in tables.read("samples").collect()] == [(1, pytest.approx(1.0), 0.0, 1.0)]
+    rejects = Counter(r.code for r in tables.read("rejects").collect())
+    assert rejects == {"MALFORMED_JSON": 2, "USER_NOT_FOUND": 1, "INVALID_PACKET": 1}
+    assert [(r.event_id, r.action) for r in tables.read("responses").collect()] == [(4, "OK")]
+
+
 def test_cooldown_across_batches(spark, tmp_path):
     batches = [[("d", T0 + timedelta(seconds=s), s) for s in part] for part in ([0, 3], [4, 5, 9], [10, 16])]
     alerts = feed(spark, tmp_path, batches, "device_id string, ts timestamp, seq long")
