@@ -1,11 +1,6 @@
 """Spectral features of fixed-length signals: the one per-window computation Spark SQL has no function for."""
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from strideframe import schemas as S
 
 
 def spectra(signals: np.ndarray, rate: float) -> np.ndarray:
@@ -24,26 +19,3 @@ def spectra(signals: np.ndarray, rate: float) -> np.ndarray:
     out[alive, 0] = (power[alive].argmax(axis=1) + 1) * rate / n
     out[alive, 2] = -(share * np.log2(share + 1e-12)).sum(axis=1) / np.log2(bins + 1e-12)
     return out
-
-
-def spectral_struct(channels: dict[str, Column], rate: float = S.SAMPLING_RATE) -> Column:
-    """Struct of ``<channel>_<stat>`` for array columns; Arrow batches, stacked per signal length."""
-    names = [f"{c}_{s}" for c in channels for s in S.SPECTRAL_STATS]
-
-    def compute(*arrays: pa.Array) -> pa.Array:
-        columns = []
-        for array in arrays:
-            lengths = np.diff(array.offsets.to_numpy())
-            values = array.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lengths)
-            result = np.zeros((len(lengths), 3))
-            for n in np.unique(lengths):
-                rows = np.flatnonzero(lengths == n)
-                index = (ends[rows] - n)[:, None] + np.arange(n)[None, :]
-                result[rows] = spectra(values[index], rate)
-            columns.extend(pa.array(result[:, i]) for i in range(3))
-        return pa.StructArray.from_arrays(columns, names)
-
-    compute.__annotations__ = {"arrays": pa.Array, "return": pa.Array}
-    returned = "struct<" + ",".join(f"{n}: double" for n in names) + ">"
-    return F.arrow_udf(compute, returned)(*channels.values())

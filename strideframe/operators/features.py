@@ -1,36 +1,28 @@
 """The 136 window features.
 
-Time-domain and global features are built-in aggregates over one row per (window, position, signal): a short row with
-one value keeps the aggregation inside compiled code, where one row with every channel would need over a hundred
-aggregates at once. Medians and spectra come from one array per window and channel.
+Samples are dealt by key and sorted, once; an Arrow pass over the sorted rows computes every feature of every window that
+ends in a batch from the samples of the batch and the few before it (``functions.window_stats``). No sample is copied
+per window, and medians and spectra come from the same pass as the rest. Built-in aggregates would need one row per window
+and position, over five times the samples, and more than a hundred aggregates on each.
 """
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
+from pyspark.sql import types as T
 
 from strideframe import schemas as S
-from strideframe.functions.spectral import spectral_struct
-from strideframe.operators.ordered import HOT_ROWS
-from strideframe.operators.windows import BLOCK_ROWS, PHONE_RULE, WindowRule, blocked, expanded, packed
+from strideframe.functions.window_stats import WindowStats
+from strideframe.operators.ordered import HOT_ROWS, hot_keys
+from strideframe.operators.windows import BLOCK_ROWS, PHONE_RULE, WindowRule, blocked, window_rows
 
 _DEGREES = 180.0 / 3.141592653589793
-_STEPS = ["_jerk", "_ang"]
-# A feature is one statistic of one signal; impact_ratio alone combines two.
-_GLOBALS = {
-    "acc_sma": ("_acc_abs", "mean"), "gyro_sma": ("_gyro_abs", "mean"),
-    "jerk_mean": ("_jerk", "mean"), "jerk_std": ("_jerk", "std"),
-    "jerk_max": ("_jerk", "max"), "jerk_energy": ("_jerk", "energy"),
-    "ang_acc_mean": ("_ang", "mean"), "ang_acc_max": ("_ang", "max"),
-    "pitch_mean": ("_pitch", "mean"), "pitch_std": ("_pitch", "std"), "pitch_range": ("_pitch", "range"),
-    "roll_mean": ("_roll", "mean"), "roll_std": ("_roll", "std"), "roll_range": ("_roll", "range"),
-    "post_impact_immobility": ("acc_mag", "settled"),
-}
-_ARRAY_STATS = ["median", *S.SPECTRAL_STATS]
-# Above this many aggregates the long form is used.
-_WIDE_AGGREGATES = 16
+#: Windows computed at once.
+_WINDOWS = 1024
 
 
 def magnitude(*parts: Column) -> Column:
@@ -50,134 +42,83 @@ def with_signals(df: DataFrame) -> DataFrame:
     })
 
 
-def motion_steps(rate: float = S.SAMPLING_RATE) -> Callable[[WindowSpec], dict[str, Column]]:
-    """Jerk and angular-acceleration magnitudes from a sample and its predecessor."""
-
-    def build(w: WindowSpec) -> dict[str, Column]:
-        def change(axis: str) -> Column:
-            return (F.col(axis) - F.lag(axis).over(w)) * rate
-
-        return {
-            "_jerk": magnitude(*[change(a) for a in S.AXES[:3]]),
-            "_ang": magnitude(*[change(a) for a in S.AXES[3:]]),
-        }
-
-    return build
-
-
-def _statistic(stat: str, x: Column, settled: Column) -> Column:
-    n = F.count(x).cast("double")
-
-    def or_zero(c: Column) -> Column:
-        return F.coalesce(c, F.lit(0.0))
-
-    std = or_zero(F.stddev_samp(x))
-    if stat == "skew":
-        g1 = F.skewness(x)
-        return F.when(std > 1e-7, F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(g1)).otherwise(0.0)
-    if stat == "kurtosis":
-        g2 = F.kurtosis(x)
-        unbiased = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
-        return F.when(std > 1e-7, F.when(n > 3, unbiased).otherwise(g2)).otherwise(0.0)
-    if stat == "settled":
-        return F.when(n >= 10, or_zero(F.stddev_pop(F.when(settled, x)))).otherwise(0.0)
-    simple = {
-        "mean": lambda: F.avg(x),
-        "std": lambda: F.stddev_samp(x),
-        "var": lambda: F.var_samp(x),
-        "min": lambda: F.min(x),
-        "max": lambda: F.max(x),
-        "range": lambda: F.max(x) - F.min(x),
-        "p2p": lambda: F.max(x) - F.min(x),
-        "energy": lambda: F.avg(x * x),
-        "rms": lambda: F.sqrt(F.avg(x * x)),
-    }
-    return or_zero(simple[stat]())
-
-
-def _source(feature: str) -> tuple[str, str]:
-    if feature in _GLOBALS:
-        return _GLOBALS[feature]
-    for c in sorted(S.CHANNELS, key=len, reverse=True):
-        if feature.startswith(f"{c}_") and feature[len(c) + 1:] in S.CHANNEL_STATS:
-            return c, feature[len(c) + 1:]
-    raise ValueError(f"unknown feature {feature}")
-
-
-def _needs_arrays(columns: Sequence[str]) -> dict[str, list[str]]:
-    needed: dict[str, list[str]] = {}
-    for name in columns:
-        if name != "impact_ratio" and _source(name)[1] in _ARRAY_STATS:
-            c, stat = _source(name)
-            needed.setdefault(c, []).append(stat)
-    return needed
-
-
-def time_features(rows: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Aggregate prepared rows (``pos, n_samples``, signals, steps) to one row per group."""
-    sources = {n: _source(n) for n in columns if n != "impact_ratio" and _source(n)[1] not in _ARRAY_STATS}
-    pairs = dict.fromkeys(sources.values())
-    if "impact_ratio" in columns:
-        pairs |= {("acc_mag", "max"): None, ("acc_mag", "mean"): None}
-    # The last int(n * 0.3) positions of the window.
-    settled = F.col("pos") > F.col("n_samples") - (F.col("n_samples") * 0.3).cast("int")
-    if len(pairs) <= _WIDE_AGGREGATES:
-        out = rows.groupBy(*group).agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[_statistic(stat, F.col(sig), settled).alias(f"{sig}|{stat}") for sig, stat in pairs],
-        )
-        value = {(sig, stat): F.col(f"{sig}|{stat}") for sig, stat in pairs}
-    else:
-        signals = sorted({sig for sig, _ in pairs})
-        stats = list(dict.fromkeys(stat for _, stat in pairs))
-        at = {sig: i for i, sig in enumerate(signals)}
-        long = rows.select(
-            *dict.fromkeys([*group, "pos", "n_samples"]),
-            F.inline(F.array(*[F.struct(F.lit(i).alias("_sig"), F.col(s).alias("_x")) for s, i in at.items()])),
-        )
-        per_signal = long.groupBy(*group, "_sig").agg(
-            *[_statistic(stat, F.col("_x"), settled).alias(stat) for stat in stats]
-        )
-        out = per_signal.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_sig", *stats))).alias("_stats"))
-        value = {(sig, stat): F.col("_stats").getItem(at[sig]).getField(stat) for sig, stat in pairs}
-    made = {n: value[src] for n, src in sources.items()}
-    if "impact_ratio" in columns:
-        made["impact_ratio"] = value["acc_mag", "max"] / (value["acc_mag", "mean"] + 1e-5)
-    return out.select(*group, *[c.alias(n) for n, c in made.items()])
-
-
-def _median(values: Column) -> Column:
-    in_order, n = F.sort_array(values), F.size(values)
-    return (
-        F.element_at(in_order, F.ceil(n / 2).cast("int")) + F.element_at(in_order, F.floor(n / 2).cast("int") + 1)
-    ) / 2
-
-
-def array_features(
-    windows: DataFrame, group: Sequence[str], columns: Sequence[str], rate: float = S.SAMPLING_RATE
-) -> DataFrame:
-    """Medians and spectra from one array per axis."""
-    needed = _needs_arrays(columns)
-    arrays = {a: F.col(a) for a in S.AXES}
-
-    def mag(parts: Sequence[str]) -> Column:
-        x, y, z = parts
-        squares = F.zip_with(arrays[x], arrays[y], lambda a, b: a * a + b * b)
-        return F.zip_with(squares, arrays[z], lambda q, c: F.sqrt(q + c * c))
-
-    built = windows.withColumns(
-        {c: mag(parts) for c, parts in (("acc_mag", S.AXES[:3]), ("gyro_mag", S.AXES[3:])) if c in needed}
-        or {"_none": F.lit(None)}
-    )
-    spectral = [c for c, stats in needed.items() if set(stats) & set(S.SPECTRAL_STATS)]
-    if spectral:
-        built = built.withColumn("_spectral", spectral_struct({c: F.col(c) for c in spectral}, rate))
-    made = []
-    for c, stats in needed.items():
-        for stat in stats:
-            value = _median(F.col(c)) if stat == "median" else F.col("_spectral").getField(f"{c}_{stat}")
-            made.append(value.alias(f"{c}_{stat}"))
-    return built.select(*group, *made)
+def _axes(columns: Sequence[pa.Array]) -> tuple[np.ndarray, np.ndarray | None]:
+    """(samples x axes, where they are known or None if all are)."""
+    axes = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]) if columns else np.zeros((0, 6))
+    if not any(c.null_count for c in columns):
+        return axes, None
+    return axes, np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+
+
+def _starts(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Rows at which a run of equal values of ``names`` begins (NULL equals NULL)."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for name in names:
+        column = batch.column(name)
+        this, before = column.slice(1), column.slice(0, len(column) - 1)
+        differs = pc.fill_null(pc.not_equal(this, before), False)
+        differs = pc.or_(differs, pc.xor(pc.is_null(this), pc.is_null(before)))
+        new[1:] |= differs.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _made(kept: list[pa.Array], names: list[str], stats: WindowStats, found: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*kept, *[pa.array(v) for v in found]], names=[*names, *stats.columns])
+
+
+def _output(df: DataFrame, keep: Sequence[str], columns: Sequence[str], *more: T.StructField) -> T.StructType:
+    return T.StructType([*[df.schema[k] for k in keep], *more, *[T.StructField(c, T.DoubleType()) for c in columns]])
+
+
+def _sliding(keys: Sequence[str], rule: WindowRule, stats: WindowStats, numbered: bool):
+    """Features of the windows of sorted samples. ``numbered``: rows are of blocks and carry ``rn, _from, _to``."""
+    by = [*keys, "block"] if numbered else list(keys)
+    names = [*keys, "win_end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, count = None, 0
+        tail, tail_known = np.zeros((0, 6)), np.zeros((0, 6), bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = _starts(batch, by)
+            firsts = [tuple(batch.column(c)[0].as_py() for c in by)]
+            goes_on = firsts[0] == key
+            if not goes_on:
+                tail, tail_known, count = tail[:0], tail_known[:0], 0
+            own, known = _axes([batch.column(a) for a in S.AXES])
+            before = len(tail)
+            axes = np.vstack([tail, own])
+            whole = known is None and tail_known.all()
+            there = np.vstack([tail_known, np.ones_like(own, bool) if known is None else known])
+            run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(own))))
+            offset = np.zeros(len(starts), np.int64)
+            offset[0] = count
+            first = before + starts
+            first[0] = 0
+            n = np.arange(len(own)) - starts[run_of] + 1 + offset[run_of]
+            if numbered:
+                number = batch.column("rn").to_numpy()
+                due = (number >= batch.column("_from").to_numpy()) & (number <= batch.column("_to").to_numpy())
+            else:
+                number, due = n, n >= rule.first
+            ends = np.flatnonzero(due & ((number - rule.first) % rule.stride == 0))
+            signals = stats.prepared(axes, None if whole else there) if len(ends) else {}
+            for at in range(0, len(ends), _WINDOWS):
+                e = ends[at : at + _WINDOWS]
+                rows = window_rows(rule, before + e + 1, first[run_of[e]], number[e])
+                taken = pa.array(e)
+                yield _made(
+                    [*[batch.column(k).take(taken) for k in keys], pa.array(number[e])], names, stats, stats.of(signals, rows)
+                )
+            last = starts[-1]
+            key = tuple(batch.column(c)[int(last)].as_py() for c in by)
+            count = int(n[-1])
+            cut = max(len(axes) - rule.size + 1, first[-1])
+            tail, tail_known = axes[cut:], there[cut:]
+
+    return run
 
 
 def stream_features(
@@ -191,20 +132,58 @@ def stream_features(
     limit: int = HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Features of every sliding window of every stream key: ``keys, win_end`` and the feature columns."""
+    """Features of every sliding window of every stream key: ``keys, win_end`` and the feature columns.
+
+    One exchange by key. If some keys are above ``limit`` rows, samples are numbered and dealt by blocks instead.
+    """
     keys, columns = list(keys), list(columns)
-    base = df.select(*dict.fromkeys([*keys, *order, *S.AXES]))
-    blocks = blocked(base, keys, order, along, rule, motion_steps(rate), limit, block_rows)
-    group = [*keys, "block", "win_end"]
-    parts = []
-    timed = [c for c in columns if c == "impact_ratio" or _source(c)[1] not in _ARRAY_STATS]
-    if timed:
-        rows = expanded(with_signals(blocks), rule, _STEPS).withColumn("n_samples", F.lit(rule.size))
-        parts.append(time_features(rows, group, timed))
-    if _needs_arrays(columns):
-        parts.append(array_features(packed(blocks, keys, rule), group, columns, rate))
-    out = parts[0] if len(parts) == 1 else parts[0].join(parts[1], group)
-    return out.select(*keys, "win_end", *columns)
+    base = df.select(*dict.fromkeys([*keys, *order]), *[F.col(a).cast("double").alias(a) for a in S.AXES])
+    hot = hot_keys(base, keys, along, limit)
+    if hot is None:
+        rows = base.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *S.AXES)
+    else:
+        rows = blocked(base, keys, order, along, rule, limit, block_rows, hot=hot, find_hot=False)
+        rows = rows.sortWithinPartitions(*keys, "block", "rn").select(*keys, "block", "rn", "_from", "_to", *S.AXES)
+    out = _output(base, keys, columns, T.StructField("win_end", T.LongType()))
+    return rows.mapInArrow(_sliding(keys, rule, WindowStats(columns, rate), hot is not None), out)
+
+
+def _whole(window: Sequence[str], keep: Sequence[str], stats: WindowStats):
+    """Features of windows whose sorted rows arrive together; ``keep`` columns come from a window's first row."""
+
+    def finished(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        batch = rows.combine_chunks().to_batches()[0]
+        starts = _starts(batch, window)
+        sizes = np.diff(np.append(starts, batch.num_rows))
+        signals = stats.prepared(*_axes([batch.column(a) for a in S.AXES]))
+        for size in np.unique(sizes).tolist():
+            alike = starts[sizes == size]
+            for at in range(0, len(alike), _WINDOWS):
+                own = alike[at : at + _WINDOWS]
+                taken = pa.array(own)
+                yield _made(
+                    [batch.column(k).take(taken) for k in keep], list(keep), stats, stats.of(signals, own[:, None] + np.arange(size))
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = int(_starts(batch, window)[-1])
+            if held:
+                edge = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]).combine_chunks()
+                if last == 0 and len(_starts(edge.to_batches()[0], window)) == 1:
+                    held.append(batch)  # a window longer than a batch
+                    continue
+            done = [*held, batch.slice(0, last)]
+            if sum(b.num_rows for b in done):
+                yield from finished(pa.Table.from_batches(done))
+            held = [batch.slice(last)]
+        if held:
+            yield from finished(pa.Table.from_batches(held))
+
+    return run
 
 
 def dataset_features(
@@ -219,24 +198,10 @@ def dataset_features(
     window, columns = list(window), list(columns)
     if "split_origin" in meta and "split_origin" not in df.columns:
         df = df.withColumn("split_origin", F.lit("train"))
-    in_order = Window.partitionBy(*window).orderBy(step)
-    rows = (
-        df.withColumns(motion_steps(rate)(in_order))
-        .withColumn("pos", F.row_number().over(in_order).cast("long"))
-        .withColumn("n_samples", F.count(F.lit(1)).over(Window.partitionBy(*window)))
-        .withColumns({m: F.first(m).over(in_order) for m in meta} if meta else {"_m": F.lit(0)})
-    )
-    group = [*window, *meta]
-    timed = [c for c in columns if c == "impact_ratio" or _source(c)[1] not in _ARRAY_STATS]
-    parts = []
-    if timed:
-        parts.append(time_features(with_signals(rows), group, timed))
-    if _needs_arrays(columns):
-        packed_rows = rows.groupBy(*window).agg(F.sort_array(F.collect_list(F.struct("pos", *S.AXES))).alias("_s"))
-        arrays = packed_rows.select(*window, *[F.col("_s").getField(a).alias(a) for a in S.AXES])
-        parts.append(array_features(arrays, window, columns, rate))
-    out = parts[0] if len(parts) == 1 else parts[0].join(parts[1], window)
-    return out.select(*[c for c in group if c in out.columns], *columns)
+    keep = [*window, *meta]
+    rows = df.select(*dict.fromkeys([*keep, step]), *[F.col(a).cast("double").alias(a) for a in S.AXES])
+    rows = rows.repartition(*window).sortWithinPartitions(*window, step).select(*keep, *S.AXES)
+    return rows.mapInArrow(_whole(window, keep, WindowStats(columns, rate)), _output(rows, keep, columns))
 
 
 def message_features(
@@ -246,11 +211,32 @@ def message_features(
     rate: float = S.SAMPLING_RATE,
     meta: Sequence[str] = (),
 ) -> DataFrame:
-    """Features of windows given as six arrays, ``keys`` naming one window each; ``meta`` columns may hold NULLs."""
-    rows = windows.select(*keys, *meta, F.posexplode(F.arrays_zip(*S.AXES)).alias("step", "_s")).select(
-        *keys, *meta, "step", *[F.col("_s").getField(a).alias(a) for a in S.AXES]
-    )
-    return dataset_features(rows, columns, rate, window=keys, meta=meta)
+    """Features of windows given as six arrays, without any exchange; ``keys`` and ``meta`` columns are kept.
+
+    Where an array is shorter than another, or has a NULL, the sample lacks that axis. Windows without samples are left out.
+    """
+    columns, keep, stats = list(columns), [*keys, *meta], WindowStats(list(columns), rate)
+    zipped = F.arrays_zip(*[F.col(a).cast("array<double>").alias(a) for a in S.AXES])
+    rows = windows.select(*keep, zipped.alias("_samples")).where(F.size("_samples") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("_samples")
+            sizes = lists.value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            signals = stats.prepared(*_axes(lists.flatten().flatten()))
+            for size in np.unique(sizes).tolist():
+                alike = np.flatnonzero(sizes == size)
+                for at in range(0, len(alike), _WINDOWS):
+                    own = alike[at : at + _WINDOWS]
+                    yield _made(
+                        [batch.column(k).take(pa.array(own)) for k in keep], list(keep), stats,
+                        stats.of(signals, starts[own][:, None] + np.arange(size)),
+                    )
+
+    return rows.mapInArrow(run, _output(rows, keep, columns))
 
 
 def clean_vector(df: DataFrame, columns: Sequence[str] = tuple(S.FEATURE_COLUMNS)) -> DataFrame:

@@ -1,11 +1,11 @@
 """Count-based sliding windows, retention, decimation and running counters."""
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from strideframe import schemas as S
 from strideframe.operators.ordered import HOT_ROWS, hot_keys, numbered
@@ -23,14 +23,31 @@ class WindowRule:
     stride: int = S.STRIDE_SAMPLES
     pad: str | None = "front"
 
+    def __post_init__(self) -> None:
+        if self.pad is None and self.first < self.size:
+            raise ValueError("windows before the first full one need padding")
+
+
+def window_rows(rule: WindowRule, ends: np.ndarray, first: np.ndarray, received: np.ndarray) -> np.ndarray:
+    """For windows that end behind row ``ends`` the row of each of their samples, padding copies included.
+
+    ``first``: row of the first sample at hand of the window's key; it is its very first one while ``received``, the
+    number of samples of the key up to the window's end, is below the window's size.
+    """
+    at = ends[:, None] + np.arange(-rule.size, 0)
+    if rule.pad is None or rule.first >= rule.size:
+        return at
+    if rule.pad == "front":
+        return np.maximum(at, first[:, None])
+    short = np.minimum(np.arange(rule.size), received[:, None] - 1) + first[:, None]
+    return np.where(received[:, None] < rule.size, short, at)
+
 
 PHONE_RULE = WindowRule()
 REPLAY_RULE = WindowRule(first=70, stride=10, pad="tail")
 DEVICE_RULE = WindowRule(first=128, stride=64, pad=None)
 EVERY_SAMPLE_RULE = WindowRule(first=128, stride=1, pad=None)
 
-Steps = Callable[[WindowSpec], dict[str, Column]]
-
 
 def blocked(
     df: DataFrame,
@@ -38,21 +55,20 @@ def blocked(
     order: Sequence[str],
     along: Column,
     rule: WindowRule = PHONE_RULE,
-    steps: Steps | None = None,
     limit: int = HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
+    hot: DataFrame | None = None,
+    find_hot: bool = True,
 ) -> DataFrame:
     """Number the samples and cut every key into blocks of ``block_rows`` window ends plus the rows before them.
 
     Rows within ``size - 1`` of the next block are copied into it, so every window lies inside the block of its end.
     Ordinary keys stay where the numbering put them (one exchange); split keys are spread over tasks by block.
-    ``steps`` builds columns from a sample and its predecessor, once per sample rather than once per window.
     """
     keys = list(keys)
-    hot = hot_keys(df, keys, along, limit)
+    if hot is None and find_hot:
+        hot = hot_keys(df, keys, along, limit)
     rows = numbered(df, keys, order, along, limit, hot=hot, find_hot=False)
-    if steps is not None and hot is None:
-        rows = rows.withColumns(steps(Window.partitionBy(*keys).orderBy(*order)))
     block = F.floor((F.col("rn") - 1) / block_rows)
     reaches_next = ((F.col("rn") - 1) % block_rows > block_rows - rule.size) & (
         (block + 1) * block_rows < F.col("n_rows")
@@ -63,8 +79,6 @@ def blocked(
     if hot is not None:
         # Explicit, so that every operator on the blocks shares this one exchange.
         rows = rows.repartition(*keys, "block")
-        if steps is not None:
-            rows = rows.withColumns(steps(Window.partitionBy(*keys, "block").orderBy("rn")))
     first = F.greatest(F.col("block") * block_rows + 1, F.lit(rule.first))
     return rows.withColumns({
         "_from": _next_end(first, rule),
@@ -76,37 +90,6 @@ def _next_end(at_least: Column, rule: WindowRule) -> Column:
     return (F.lit(rule.first) + rule.stride * F.ceil((at_least - rule.first) / rule.stride)).cast("long")
 
 
-def expanded(blocks: DataFrame, rule: WindowRule = PHONE_RULE, step_names: Sequence[str] = ()) -> DataFrame:
-    """One row per (window, position): adds ``win_end`` and ``pos`` (1..size), padding copies included.
-
-    Step columns are blanked at position 1 and zero on padded copies. Group by ``keys, block, win_end``: no further
-    exchange is needed.
-    """
-    start = F.greatest(F.col("_from"), _next_end(F.greatest(F.col("rn"), F.lit(rule.first)), rule))
-    stop = F.least(F.col("rn") + (rule.size - 1), F.col("_to"))
-    out = blocks.withColumn(
-        "win_end", F.explode(F.when(start <= stop, F.sequence(start, stop, F.lit(rule.stride).cast("long"))))
-    ).drop("_from", "_to")
-    back = F.col("win_end") - F.col("rn")
-    copy = F.lit(False)
-    if rule.pad is None or rule.first >= rule.size:
-        out = out.withColumn("pos", rule.size - back)
-    else:
-        short = F.col("win_end") < rule.size
-        if rule.pad == "front":
-            repeated, spread = F.col("rn") == 1, F.sequence(F.lit(1).cast("long"), rule.size + 1 - F.col("win_end"))
-            place = rule.size - back
-            copy = short & (F.col("rn") == 1)
-        else:
-            repeated, spread = back == 0, F.sequence(F.col("win_end"), F.lit(rule.size).cast("long"))
-            place = F.when(short, F.col("rn")).otherwise(rule.size - back)
-            copy = short & (F.col("pos") > F.col("win_end"))
-        out = out.withColumn("pos", F.explode(F.when(short & repeated, spread).otherwise(F.array(place))))
-    return out.withColumns(
-        {n: F.when(F.col("pos") > 1, F.when(copy, F.lit(0.0)).otherwise(F.col(n))) for n in step_names}
-    ) if step_names else out
-
-
 def packed(
     blocks: DataFrame, keys: Sequence[str], rule: WindowRule = PHONE_RULE, columns: Sequence[str] = tuple(S.AXES)
 ) -> DataFrame:
@@ -148,7 +131,7 @@ def window_arrays(
     limit: int = HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    return packed(blocked(df, keys, order, along, rule, None, limit, block_rows), keys, rule, columns).drop("block")
+    return packed(blocked(df, keys, order, along, rule, limit, block_rows), keys, rule, columns).drop("block")
 
 
 def array_rows(windows: DataFrame, keep: Sequence[str], axes: Sequence[str] = tuple(S.AXES)) -> DataFrame:
