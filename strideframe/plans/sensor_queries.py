@@ -1,5 +1,7 @@
 """Sample- and window-level queries on the sensor view."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,7 +10,8 @@ from strideframe.operators import asof, cleaning, decision, features, ordered, w
 from strideframe.plans import sql_parts as Q
 from strideframe.plans.registry import query
 from strideframe.plans.views import SENSOR_ORDER, raw_sensor, sensor_along, table
-from strideframe.sources import readers
+from strideframe.session import cut, shared_dir
+from strideframe.sources import readers, writers
 
 KEYS = ["device_id"]
 
@@ -411,25 +414,22 @@ def dataset_window_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "matrix_windows",
-    f"""WITH {Q.windowed(128, 64, None)}
-SELECT CAST(device_id AS INTEGER) AS subject_id, 'train' AS split_origin,
-  'train_' || (device_id * 1000000 + win_end) AS window_id, CAST(pos - 1 AS INTEGER) AS step,
-  {_AXES_SQL},
-  CASE device_id % 9 WHEN 1 THEN 'WALKING' WHEN 2 THEN 'WALKING_UPSTAIRS' WHEN 3 THEN 'WALKING_DOWNSTAIRS'
+    f"""WITH {Q.windowed(128, 64, None)},
+place AS (SELECT *, row_number() OVER (ORDER BY device_id, win_end) - 1 AS row_idx FROM e)
+SELECT CAST(w.device_id AS INTEGER) AS subject_id, 'train' AS split_origin, 'train_' || row_idx AS window_id,
+  CAST(pos - 1 AS INTEGER) AS step, {_AXES_SQL},
+  CASE w.device_id % 9 WHEN 1 THEN 'WALKING' WHEN 2 THEN 'WALKING_UPSTAIRS' WHEN 3 THEN 'WALKING_DOWNSTAIRS'
     WHEN 4 THEN 'SITTING' WHEN 5 THEN 'STANDING' WHEN 6 THEN 'LAYING' WHEN 7 THEN 'FALL'
-    ELSE 'ACTIVITY_' || (device_id % 9) END AS activity, 0 AS is_fall
-FROM w""",
+    ELSE 'ACTIVITY_' || (w.device_id % 9) END AS activity, 0 AS is_fall
+FROM w JOIN place USING (device_id, win_end)""",
 )
 def matrix_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows written as eight text matrices and read back, joined by line number."""
     rows = windows.window_arrays(samples(spark, sf), KEYS, SENSOR_ORDER, sensor_along(), windows.DEVICE_RULE)
-    rows = rows.withColumn("row_idx", F.col("device_id") * 1000000 + F.col("win_end"))
-    parts = {
-        a: rows.select("row_idx", F.array_join(F.transform(a, lambda x: x.cast("string")), "  ").alias("value"))
-        for a in S.AXES
-    }
-    parts["label"] = rows.select("row_idx", (F.col("device_id") % 9).cast("string").alias("value"))
-    parts["subject"] = rows.select("row_idx", F.col("device_id").cast("string").alias("value"))
-    return readers.assemble_windows(parts, "train").withColumns({a: F.round(a, 6) for a in S.AXES})
+    root = f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    rows = rows.withColumns({"label": F.col("device_id") % 9, "subject": F.col("device_id")})
+    writers.write_matrices(cut(rows), ["device_id", "win_end"], root, "train")
+    return readers.read_matrices(spark, root, ["train"]).withColumns({a: F.round(a, 6) for a in S.AXES})
 
 
 @query(

@@ -2,25 +2,13 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideframe import schemas as S
 from strideframe.operators.cleaning import window_reject_reason
-
-# Axis name -> file name of the public human-activity matrices, one 128-column row per window.
-MATRIX_FILES = {
-    "acc_x": "Inertial Signals/total_acc_x_{split}.txt",
-    "acc_y": "Inertial Signals/total_acc_y_{split}.txt",
-    "acc_z": "Inertial Signals/total_acc_z_{split}.txt",
-    "gyro_x": "Inertial Signals/body_gyro_x_{split}.txt",
-    "gyro_y": "Inertial Signals/body_gyro_y_{split}.txt",
-    "gyro_z": "Inertial Signals/body_gyro_z_{split}.txt",
-    "label": "y_{split}.txt",
-    "subject": "subject_{split}.txt",
-}
-
+from strideframe.schemas import MATRIX_FILES
 
 def read_samples_csv(spark: SparkSession, path: str, schema: T.StructType = S.SENSOR_STREAM) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
@@ -35,10 +23,22 @@ def replay(spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty lines of a text file with their position: the one place where file order carries meaning."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    pairs = lines.rdd.zipWithIndex().map(lambda p: (p[1], p[0][0]))
-    return spark.createDataFrame(pairs, "row_idx long, value string")
+    """``row_idx, value``: non-empty lines of a text file, or of a folder of part files in the order of their names, with
+    their position from 0: the one place where file order carries meaning.
+
+    Lines are numbered within the blocks that Spark splits files into; the counts of the blocks before supply the rest.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    blocks = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")).withColumn(
+        "_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))
+    )
+    return lines.join(blocks, ["_file", "_block"]).select(
+        (F.col("_offset") + F.col("_at") - F.col("_first")).alias("row_idx"), "value"
+    )
 
 
 def activity_name(label: Column) -> Column:

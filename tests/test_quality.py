@@ -46,6 +46,18 @@ def test_published_selection(spark):
     assert evaluation.best_model(tied).first()["model_ord"] == 0
 
 
+def test_roc_auc_of_any_scores(spark):
+    """Nearly all scores at one end, scores below 0 and above 1, ties and NULLs."""
+    rng = random.Random(4)
+    rows = [(rng.random() < 0.3, 0.999 + rng.randrange(900) / 1e6) for _ in range(3000)]
+    rows += [(rng.random() < 0.5, rng.choice([-7.5, 0.0, -0.0, 1e9, 42.0])) for _ in range(60)] + [(True, None), (False, None)]
+    df = spark.createDataFrame(rows, "p boolean, s double").repartition(5)
+    good, bad = ([s for p, s in rows if p == side and s is not None] for side in (True, False))
+    want = sum((a > b) + (a == b) / 2 for a in good for b in bad) / len(good) / len(bad)
+    assert evaluation.roc_auc(df, F.col("p"), "s").first()[0] == pytest.approx(want, rel=1e-12)
+    assert evaluation.roc_auc(df.where("false"), F.col("p"), "s").first()[0] == 1.0
+
+
 def test_roc_auc_against_pairs(spark):
     draw = random.Random(1)
     rows = [(draw.random() < 0.3, round(draw.random(), 2)) for _ in range(400)] + [(True, 1.0), (False, 0.0)]

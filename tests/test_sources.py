@@ -53,6 +53,23 @@ def test_matrices(spark, tmp_path):
     assert [f.name for f in out.schema] == [f.name for f in S.SENSOR_STREAM]
 
 
+def test_lines_of_many_blocks_and_files(spark, tmp_path):
+    """Positions run on over blocks of a file and over part files; empty lines have none."""
+    (tmp_path / "f").mkdir()
+    lines = [f"line {i} " + "x" * (i % 90) for i in range(5000)]
+    for k in range(3):
+        part = [x for line in lines[k * 2000 : (k + 1) * 2000] for x in ([line, " "] if len(line) % 7 == 0 else [line])]
+        (tmp_path / "f" / f"part-0000{k}.txt").write_text("\n".join(part) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path / "f")).orderBy("row_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.row_idx, r.value) for r in got] == list(enumerate(lines))
+    (tmp_path / "none.txt").write_text("\n\n")
+    assert readers.numbered_lines(spark, str(tmp_path / "none.txt")).count() == 0
+
+
 def test_cache_is_keyed_by_parameters(spark, tmp_path):
     calls = []
 
