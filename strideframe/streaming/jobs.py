@@ -157,15 +157,16 @@ def sessions(changes: DataFrame) -> DataFrame:
     )
 
 
-def score_windows(windows: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """Window messages to decisions: the same features and rules as in batch. Without a scorer the rule decides."""
-    columns = S.FEATURE_COLUMNS if scorer else ["acc_mag_max", "gyro_mag_max", "jerk_max"]
+def score_windows(windows: DataFrame, scorer: Scorer | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Window messages to decisions: the same features and rules as in batch. Without a scorer the rule decides.
+    ``columns``: the features that the scorer and the summary need (all unless given)."""
+    columns = list(columns or S.FEATURE_COLUMNS) if scorer else ["acc_mag_max", "gyro_mag_max", "jerk_max"]
     keys, meta = ["stream_key", "n"], ["ts", "lat", "lon"]
     made = features.message_features(windows.select(*keys, *meta, *S.AXES), keys, columns, meta=meta)
     if scorer is None:
         out = decision.features_summary(decision.decide_without_model(made), tilt=False)
     else:
-        out = decision.features_summary(decision.decide(scorer(features.clean_vector(made))))
+        out = decision.features_summary(decision.decide(scorer(features.clean_vector(made, columns))))
     return out.withColumns({"timestamp": F.col("ts"), "device_id": F.col("stream_key")})
 
 
