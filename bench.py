@@ -20,6 +20,9 @@ HEADLINE = [
     "direct_alert_cooldown",
     "dashboard_summary",
     "classifier_evaluation",
+    "stream_device_windows",
+    "stream_inference",
+    "linear_table_scores",
 ]
 
 

@@ -43,7 +43,7 @@ def accepted(
     if hot is None:
         kept = _walked(source, by, gap)
     else:
-        split = F.broadcast(hot.select(*by))
+        split = hot.select(*by)  # hinted for a broadcast only if it is short
         kept = _walked(source.join(split, by, "left_anti"), by, gap).unionByName(
             _chained(source.join(split, by, "left_semi"), by, gap, per_chunk)
         )

@@ -157,8 +157,10 @@ def dispatches(
     timeout: float = S.CONFIRM_TIMEOUT_SECONDS,
     as_of: Column | None = None,
     limit: int = HOT_ROWS,
+    outcomes: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per escalation (each HELP response, each expired timer) with the location known at that moment."""
+    """One row per escalation (each HELP response, each expired timer) with the location known at that moment.
+    ``outcomes``: those of the same events, if they are at hand."""
     answers = _since_detection(falls, actions.where("kind = 'response'"))
     responses = classified(answers).where(F.col("what").isin("OK", "HELP"))
     # Locations travel along the responses of an event; only HELP rows are kept.
@@ -169,7 +171,9 @@ def dispatches(
         "event_id", F.col("ts").alias("dispatched_at"), F.col("seq").alias("dispatch_seq"), "_lat", "_lon",
         F.lit("MANUAL_HELP_REQUEST").alias("reason"),
     )
-    expired = event_outcomes(falls, actions, timeout, as_of).where("timed_out").select(
+    if outcomes is None:
+        outcomes = event_outcomes(falls, actions, timeout, as_of)
+    expired = outcomes.where("timed_out").select(
         "event_id", seconds(F.col("ts"), timeout).alias("dispatched_at"), F.lit(-1).cast("long").alias("dispatch_seq"),
         F.lit(None).cast("double").alias("_lat"), F.lit(None).cast("double").alias("_lon"),
         F.lit("TIMEOUT").alias("reason"),

@@ -12,6 +12,7 @@ from strideframe.plans.registry import query
 from strideframe.plans.sensor_queries import samples
 from strideframe.plans.views import SENSOR_ORDER, actions, events, falls, predictions, table, users
 from strideframe.schemas import FALL_EVENTS
+from strideframe.session import cut
 from strideframe.sources import readers, writers
 
 # The reference day of "today" questions is always given, never taken from the clock.
@@ -25,9 +26,9 @@ def fall_events(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumnsRenamed({"event_id": "id", "ts": "timestamp"})
 
 
-def _alerts(spark: SparkSession, sf: str) -> DataFrame:
-    fell, acts = falls(spark, sf), actions(spark, sf)
-    sent = lifecycle.outbox(lifecycle.contact_snapshot(lifecycle.dispatches(fell, acts, TIMEOUT), users(spark, sf)))
+def _alerts(spark: SparkSession, sf: str, acts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    sent = lifecycle.dispatches(falls(spark, sf), acts, TIMEOUT, outcomes=outcomes)
+    sent = lifecycle.outbox(lifecycle.contact_snapshot(sent, users(spark, sf)))
     first = lifecycle.alert_acknowledgements(sent, acts)
     one = F.struct("dispatched_at", "dispatch_seq")
     # Only an event's first alert is ever acknowledged.
@@ -120,8 +121,12 @@ SELECT n.activity AS current_activity, round(n.confidence, 4) AS current_confide
 FROM newest n""",
 )
 def dashboard_summary(spark: SparkSession, sf: str) -> DataFrame:
+    # The action log and the outcomes are read by several parts of the summary: made once.
+    acts = cut(actions(spark, sf))
+    outcomes = cut(lifecycle.event_outcomes(falls(spark, sf), acts, TIMEOUT))
+    fell = outcomes.withColumnsRenamed({"event_id": "id", "ts": "timestamp"})
     status = devices.device_status(events(spark, sf).withColumn("device_id", F.col("user_id") % 7))
-    out = history.summary(predictions(spark, sf), fall_events(spark, sf), _alerts(spark, sf), status, F.lit(AS_OF))
+    out = history.summary(predictions(spark, sf), fell, _alerts(spark, sf, acts, outcomes), status, F.lit(AS_OF))
     # The nested lists are shown by id so that the check can compare them as text.
     def ids(c: str, field: str):
         return F.array_join(F.transform(c, lambda x: x.getField(field).cast("string")), ",").alias(c)
@@ -210,11 +215,12 @@ def registered_user_samples(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "activity_update_messages",
     f"""WITH {Q.PREDICTIONS} SELECT 'ACTIVITY_UPDATE' AS type, 'monitors' AS audience,
-  '{{"type":"ACTIVITY_UPDATE","data":{{"activity":"' || activity || '","risk_level":"' || risk_level || '","is_fall":'
+  '{{"type":"ACTIVITY_UPDATE","data":{{"timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00","activity":"' || activity
+  || '","confidence":' || confidence || ',"risk_level":"' || risk_level || '","is_fall":'
   || is_fall || ',"device_id":"' || device_id || '","user_id":' || user_id || '}}}}' AS value FROM predictions""",
 )
 def activity_update_messages(spark: SparkSession, sf: str) -> DataFrame:
-    return writers.activity_messages(predictions(spark, sf).drop("timestamp", "confidence"))
+    return writers.activity_messages(predictions(spark, sf))
 
 
 @query(
@@ -226,3 +232,19 @@ def schema_alignment(spark: SparkSession, sf: str) -> DataFrame:
     old = events(spark, sf).where("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id")
     aligned = readers.align(old, FALL_EVENTS, {"activity": "FALL", "confirmed": False, "model_version": "1.0.0"})
     return aligned.select("id", "user_id", "activity", "location_lat", "confirmed", "model_version")
+
+
+@query(
+    "pending_fall_events",
+    f"""WITH {Q.PREDICTIONS} SELECT id, timestamp, device_id, user_id, 'FALL' AS activity, round(confidence, 4) AS confidence,
+  round((id % 997) / CAST(1000 AS DOUBLE), 4) AS fall_probability, 'PENDING_CONFIRMATION' AS status, FALSE AS confirmed,
+  FALSE AS alert_sent, FALSE AS acknowledged, 'Potential fall detected. Awaiting user response (21600.0s timeout).' AS notes
+FROM predictions WHERE is_fall""",
+)
+def pending_fall_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The event that every prediction of a fall opens."""
+    scored = predictions(spark, sf).withColumn("ml_fall_probability", (F.col("id") % 997) / 1000.0)
+    return lifecycle.pending_falls(scored, TIMEOUT).select(
+        "id", "timestamp", "device_id", "user_id", "activity", "confidence", "fall_probability", "status", "confirmed",
+        "alert_sent", "acknowledged", "notes",
+    )

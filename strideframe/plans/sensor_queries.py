@@ -432,24 +432,37 @@ def matrix_windows(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_matrices(spark, root, ["train"]).withColumns({a: F.round(a, 6) for a in S.AXES})
 
 
-@query(
-    "window_requests",
-    f"""WITH {Q.NUMBERED},
+_REQUEST_SQL = f"""WITH {Q.NUMBERED},
 g AS (SELECT device_id, (rn - 1) // 12 AS part, count(*) AS n, count(*) FILTER (WHERE seq_b <> 7) AS short
   FROM s GROUP BY ALL)
 SELECT reject_reason, count(*) AS n FROM (
   SELECT CASE WHEN short <> n THEN 'All 6 accelerometer and gyroscope arrays must have identical length.'
     WHEN n < 8 THEN 'Window requires at least 8 samples, got ' || n || '.' END AS reject_reason FROM g)
-GROUP BY reject_reason""",
-)
-def window_requests(spark: SparkSession, sf: str) -> DataFrame:
-    # Requests of twelve samples, the last of a device shorter; the last axis misses the samples of line 7.
+GROUP BY reject_reason"""
+
+
+def _request_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """``device_id, part, body``: requests of twelve samples, the last of a device shorter; the last axis misses the samples
+    of line 7."""
     counted = ordered.numbered(samples(spark, sf), KEYS, SENSOR_ORDER, sensor_along())
     lists = [F.collect_list(a).alias(a) for a in S.AXES[:5]]
     lists.append(F.collect_list(F.when(F.col("seq_b") != 7, F.col("gyro_z"))).alias("gyro_z"))
     grouped = counted.groupBy("device_id", F.floor((F.col("rn") - 1) / 12).alias("part")).agg(*lists)
-    body = F.struct(*S.AXES, F.col("device_id").cast("string").alias("device_id"))
-    requests = readers.parse_window_requests(grouped.select(F.to_json(body).alias("value")))
+    return grouped.select("device_id", "part", F.struct(*S.AXES, F.col("device_id").cast("string").alias("device_id")).alias("body"))
+
+
+@query("window_requests", _REQUEST_SQL)
+def window_requests(spark: SparkSession, sf: str) -> DataFrame:
+    bodies = _request_bodies(spark, sf)
+    requests = readers.parse_window_requests(bodies.select(F.to_json("body").alias("value")))
+    return requests.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("window_request_lists", _REQUEST_SQL)
+def window_request_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The same requests, sent as lists of up to five."""
+    sent = _request_bodies(spark, sf).groupBy("device_id", F.floor(F.col("part") / 5)).agg(F.to_json(F.collect_list("body")).alias("value"))
+    requests = readers.parse_window_requests(sent.select("value"), many=True)
     return requests.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -81,20 +81,21 @@ def audience(kind: Column) -> Column:
     return F.when(kind.isin(*DEVICE_TYPES), "monitors,devices").otherwise("monitors")
 
 
+ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
+
+
 def activity_messages(predictions: DataFrame) -> DataFrame:
+    told = predictions.withColumn("timestamp", F.date_format("timestamp", ISO_TIME))
     body = F.struct(*[c for c in (
         "timestamp", "activity", "ml_activity", "ml_fall_probability", "safety_override", "confidence", "risk_level",
         "is_fall", "device_id", "user_id", "probabilities", "features_summary",
     ) if c in predictions.columns])
     kind = F.lit("ACTIVITY_UPDATE")
-    return predictions.select(
+    return told.select(
         kind.alias("type"), audience(kind).alias("audience"), message("ACTIVITY_UPDATE", body).alias("value")
     )
 
 
-ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
-
-
 def _typed(kind: Column, value: Column, *more: str) -> list[Column]:
     return [*[F.col(c) for c in more], kind.alias("type"), audience(kind).alias("audience"), value.alias("value")]
 
