@@ -5,8 +5,8 @@ longest length of which some n-gram is known, shorter lengths only if none is. A
 gets one floor, common to all languages: a fixed penalty below the rarest entry of the largest one. The score is the share of the best language when the mean word value,
 times at most ``EVIDENCE`` words, is taken as a log likelihood.
 
-The model is fitted on a bounded sample of labelled documents (``MOST_DOCS`` of each language, chosen by a hash of the
-id, whole texts and whole words). Its tables hold the most frequent ``WORDS`` words, and ``GRAMS`` n-grams per length, of
+The model is fitted on a bounded sample of labelled documents (about ``MOST_DOCS`` of each language, drawn row by
+row, whole texts and whole words). Its tables hold the most frequent ``WORDS`` words, and ``GRAMS`` n-grams per length, of
 each language; an entry of any language's share has its frequency in all. Only frequencies above 0 are stored, so the
 model grows with the sum over languages. Every document is predicted, from its whole text.
 
@@ -17,15 +17,17 @@ without any labelled document every text is ``und``; ties go to the language tha
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.stages import fold, fresh, sized, with_column
+from strideframe.llm.stages import drawn, fold, fresh, sized, with_column
 
 MOST_DOCS = 1000
 WORDS = 60_000
@@ -37,8 +39,6 @@ UNKNOWN = "und"
 _SCALE = math.log(10)
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = r"\p{L}"
-#: Unseen words that a worker keeps, in each of two generations.
-_KEPT = 150_000
 _CHARS = 1 << 20
 
 
@@ -92,81 +92,92 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(made)
 
 
+def _hashes(entries: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, entries), np.uint64, len(entries))
+
+
+class Table:
+    """Known entries of one length in the order of their hashes, with the languages that have each and its counts there."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, owners: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        starts = np.cumsum(sizes) - sizes
+        self.keys, self.sizes = keys[order], sizes[order]
+        at = np.repeat(starts[order] - np.cumsum(self.sizes) + self.sizes, self.sizes) + np.arange(len(owners))
+        self.owners, self.counts = owners[at], counts[at]
+
+
 class Model:
     """Per length (0: whole words) the known entries and, per entry, how far its log10 frequency in each language that
-    has it lies above the floor of the table. ``tables``: the languages' numbers and the counts of every entry."""
+    has it lies above the floor of the table. Entries are sorted 64-bit hashes, so the model is a few plain arrays."""
 
-    def __init__(self, languages: list[str], tables: list[dict[str, tuple[list[int], list[int]]]], totals: list[np.ndarray]):
+    def __init__(self, languages: list[str], tables: list[Table], totals: list[np.ndarray]):
         some = np.flatnonzero(np.sum(totals, axis=0) > 0)
         self.languages = [languages[i] for i in some]
         place = np.zeros(len(languages), np.int32)
         place[some] = np.arange(len(some), dtype=np.int32)
-        self.rows: list[dict[str, int]] = []
-        sizes, owners, parts, at = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)], 0
+        self.keys = [t.keys for t in tables]
+        self.base = np.cumsum([0, *(len(t.keys) for t in tables)])
+        values = []
         for table, total in zip(tables, totals):
-            entries = sorted(table)
-            self.rows.append({e: at + i for i, e in enumerate(entries)})
             known = np.maximum(total, 1.0)
             floor = -np.log10(known.max(initial=1.0)) - PENALTY
-            sizes.append(np.fromiter((len(table[e][0]) for e in entries), np.int64, len(entries)))
-            own = np.fromiter((i for e in entries for i in table[e][0]), np.int32, int(sizes[-1].sum()))
-            counts = np.fromiter((k for e in entries for k in table[e][1]), float, len(own))
-            owners.append(place[own])
-            parts.append(np.log10(counts / known[own]) - floor)
-            at += len(entries)
+            values.append(np.log10(table.counts / known[table.owners]) - floor)
         #: Values of row r: ``values[first[r] : first[r + 1]]``, of the languages ``owners`` in the same places.
-        self.first, self.owners, self.values = np.cumsum(np.concatenate(sizes)), np.concatenate(owners), np.concatenate(parts)
-        self.kept: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}
-
-    def sums(self, rows: list[int], times: list[float]) -> np.ndarray:
+        self.first = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(t.sizes for t in tables)]))
+        self.owners = np.concatenate([np.zeros(0, np.int32), *(place[t.owners] for t in tables)]).astype(np.int32)
+        self.values = np.concatenate([np.zeros(0), *values])
+
+    def rows(self, n: int, entries: list[str]) -> np.ndarray:
+        """Row of every entry of length ``n`` (0: word), -1 if it is unknown."""
+        keys, wanted = self.keys[n], _hashes(entries)
+        if not len(keys):
+            return np.full(len(entries), -1)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, at + self.base[n], -1)
+
+    def sums(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Per language, the values of the rows, each as often as it occurs."""
-        at, n = np.array(rows), np.array(times, float)
-        at, n = at[n > 0], n[n > 0]
         sizes = self.first[at + 1] - self.first[at]
         where = np.repeat(self.first[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         return np.bincount(self.owners[where], self.values[where] * np.repeat(n, sizes), len(self.languages))
 
-    def unseen(self, word: str) -> list[int]:
-        """The n-grams that stand for a word outside the table of words: rows of ``values``; none if all are unknown."""
-        found = self.kept.get(word)
-        if found is not None:
-            return found
-        found = self.before.get(word)
-        if found is None:
-            padded, found = f" {word} ", []
-            for n in range(min(LONGEST, len(padded)), 0, -1):
-                rows = self.rows[n]
-                found = [rows[g] for g in [padded[i : i + n] for i in range(len(padded) - n + 1)] if g in rows]
-                if found:
-                    break
-        if len(word) <= 64:
-            if len(self.kept) >= _KEPT:
-                self.kept, self.before = {}, self.kept
-            self.kept[word] = found
-        return found
+    def unseen(self, words: list[str], times: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+        """(rows, weights) of the n-grams that stand for words outside the table of words, and how many words have any.
+
+        All words are tried at one length; those of which no n-gram is known go on to the next shorter one."""
+        found, weights, covered = [], [], 0.0
+        padded = [f" {w} " for w in words]
+        for n in range(LONGEST, 0, -1):
+            if not padded:
+                break
+            sizes = np.array([max(0, len(p) - n + 1) for p in padded])
+            rows = self.rows(n, [p[i : i + n] for p in padded for i in range(len(p) - n + 1)])
+            owner = np.repeat(np.arange(len(padded)), sizes)
+            known = rows >= 0
+            hits = np.bincount(owner[known], minlength=len(padded))
+            found.append(rows[known])
+            weights.append((times / np.maximum(hits, 1))[owner[known]])
+            covered += float(times[hits > 0].sum())
+            left = np.flatnonzero(hits == 0)
+            padded, times = [padded[i] for i in left.tolist()], times[left]
+        return found, weights, covered
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         counts: Counter = Counter()
         _counted(text, counts)
-        row_of = self.rows[0].get
-        rows, times = [row_of(w, -1) for w in counts], list(counts.values())
-        n = sum(times)
-        if -1 in rows:
-            for i, word in enumerate(counts):
-                if rows[i] < 0:
-                    some, k = self.unseen(word), times[i]
-                    if some:
-                        rows += some
-                        times += [k / len(some)] * len(some)
-                    else:
-                        n -= k
-                    rows[i] = times[i] = 0
+        words, times = list(counts), np.fromiter(counts.values(), float, len(counts))
+        rows = self.rows(0, words)
+        seen = rows >= 0
+        some, weights, n = [rows[seen]], [times[seen]], float(times[seen].sum())
+        if not seen.all():
+            more, shares, covered = self.unseen([words[i] for i in np.flatnonzero(~seen).tolist()], times[~seen])
+            some, weights, n = some + more, weights + shares, n + covered
         if n == 0:  # letters, but none of which any language has a trace
             return self.languages[0], 1.0 / len(self.languages)
-        mean = self.sums(rows, times) / n * (_SCALE * min(n, EVIDENCE))
+        mean = self.sums(np.concatenate(some), np.concatenate(weights)) / n * (_SCALE * min(n, EVIDENCE))
         share = np.exp(mean - mean.max())
         best = int(np.argmax(mean))
         return self.languages[best], float(share[best] / share.sum())
@@ -192,18 +203,17 @@ def _within_bounds(whole: DataFrame, each: DataFrame, large: list[tuple[int, str
 def fit(docs: DataFrame, usable: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Count words and n-grams of the languages in a bounded sample of the ``usable`` labelled documents."""
     labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(_LETTER)).select(
-        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
     counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()
     languages = sorted(r["lang"] for r in counted)
     if not languages:
-        return Model([], [{} for _ in range(LONGEST + 1)], [np.zeros(0)] * (LONGEST + 1))
+        return Model([], [], [np.zeros(0)])
     shares = docs.sparkSession.createDataFrame(
-        [(r["lang"], int(1_000_000 * min(1.0, MOST_DOCS / r["docs"]))) for r in counted], "lang string, share int"
-    )
-    sample = labelled.join(sized(shares, len(counted)), "lang").where(
-        F.pmod(F.xxhash64(F.col("id"), F.lit(31)), F.lit(1_000_000)) < F.col("share")
+        [(r["lang"], min(1.0, MOST_DOCS / r["docs"])) for r in counted], "lang string, share double"
     )
+    # A language with ``MOST_DOCS`` documents or fewer has share 1, which takes every row.
+    sample = drawn(labelled.join(sized(shares, len(counted)), "lang"), F.col("share"), 31)
 
     kinds = "lang string, n int, entry string, k long"
     words = sample.select("lang", "text").mapInArrow(_word_counts, kinds)
@@ -222,12 +232,17 @@ def fit(docs: DataFrame, usable: Column, *, text_col: str = "text", lang_col: st
         totals[r["n"]][place[r["lang"]]] = r["k"]
         if r["entries"] > _bound(r["n"]):
             large.append((r["n"], r["lang"]))
-    tables: list[dict[str, tuple[list[int], list[int]]]] = [{} for _ in range(LONGEST + 1)]
+    parts = [tuple(array(code) for code in "Qqiq") for _ in range(LONGEST + 1)]  # hash, languages, their places and counts
     for r in _within_bounds(whole, each, large).select("n", "entry", "by").toLocalIterator():
-        tables[r["n"]][r["entry"]] = ([place[lang] for lang in r["by"]], list(r["by"].values()))
+        keys, sizes, owners, counts = parts[r["n"]]
+        keys.append(xxhash.xxh3_64_intdigest(r["entry"]))
+        sizes.append(len(r["by"]))
+        owners.extend(place[lang] for lang in r["by"])
+        counts.extend(r["by"].values())
     whole.unpersist()
     words.unpersist()
-    return Model(languages, tables, totals)
+    kinds = (np.uint64, np.int64, np.int32, np.int64)
+    return Model(languages, [Table(*(np.array(a, k) for a, k in zip(p, kinds))) for p in parts], totals)
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[DataFrame, str]:

@@ -6,7 +6,7 @@ first two is the candidate instead; other runs lose a "NAME=" before and full st
 running text, how much of the candidate the words of a dictionary cover, signs of a path, and the words beside it.
 Transitions and dictionary (the ``DICTIONARY`` most frequent words) are counted over all words of all documents; the
 forest is fitted on at most about ``MOST_ROWS`` labelled findings. Labelled findings are an argument (text, start, end,
-label); without any, findings of a sample of documents (``MOST_DOCS`` by a hash of the id) are labelled by format
+label); without any, findings of a sample of documents (about ``MOST_DOCS``, drawn row by row) are labelled by format
 (``weak_label``).
 
 Defined cases: NULL and empty texts have no findings; with labels of one class only, every finding gets that class.
@@ -159,12 +159,12 @@ def _harmless(text: str, start: int) -> bool:
 
 def password(text: str, start: int, value: str) -> bool:
     """Whether the value is assigned to the name of a password and is none of the usual words or references."""
-    return bool(_PASSWORD.search(text[max(0, start - 80) : start])) and not _NO_PASSWORD.fullmatch(value[:4096])
+    return bool(_PASSWORD.search(text[max(0, start - 80) : start])) and not _NO_PASSWORD.fullmatch(value)
 
 
 def weak_label(text: str, finding: Finding) -> int:
     """A label by format: blocks, known token forms, assigned passwords, long, mixed values assigned to another name of
-    secrets, and bare keys: 20 to 256 characters of mixed kinds in no order, most of them outside words, numbers and
+    secrets, and bare keys: 20 characters or more of mixed kinds in no order, most of them outside words, numbers and
     hexadecimal parts, and no harmless word before."""
     start, end, kind = finding
     value = text[start:end]
@@ -173,7 +173,7 @@ def weak_label(text: str, finding: Finding) -> int:
     mixed = bool(_DIGIT.search(value)) and bool(re.search(r"[A-Za-z]", value))
     if kind == "assigned":
         return int(password(text, start, value) or (len(value) >= 12 and mixed and entropy(value) >= 3.0))
-    if not (20 <= len(value) <= 256 and mixed and switches(value) >= 0.3 and entropy(value) >= 3.5) or _harmless(text, start):
+    if not (len(value) >= 20 and mixed and switches(value) >= 0.3 and entropy(value) >= 3.5) or _harmless(text, start):
         return 0
     opaque = sum(len(p) for p in _BETWEEN.split(value) if not _PLAIN.fullmatch(p))
     return int(opaque >= 20 and 2 * opaque >= len(value))
@@ -196,12 +196,12 @@ class Language:
         self.longest = max(map(len, self.words), default=0)
 
     def transitions(self, value: str) -> float:
-        at = [_PLACES.get(c, _OTHER) for c in value[:4096].lower()]
+        at = [_PLACES.get(c, _OTHER) for c in value.lower()]
         return float(self.usual[at[:-1], at[1:]].mean()) if len(at) > 1 else 0.0
 
     def coverage(self, value: str) -> float:
         """Share of the characters inside dictionary words, longest first from the left."""
-        covered, value = 0, value[:4096]
+        covered = 0
         for m in _LETTERS.finditer(value.lower()):
             run, i = m.group(), 0
             while i < len(run) - 2:
@@ -219,18 +219,17 @@ def features(text: str, finding: Finding, language: Language) -> list[float]:
     right = min((i for i in map(after.find, " \n\t\"'") if i >= 0), default=len(after))
     around = before[left:] + value + after[:right]
     near = [w.lower() for w in _WORD.findall(before)[-3:] + _WORD.findall(after)[:2]]
-    short = value[:4096]
     return [
-        *(float(kind == k) for k in _KINDS), float(min(n, 4096)), entropy(short),
-        sum(map(str.isdigit, short)) / len(short), sum(map(str.isupper, short)) / len(short),
-        float(len(re.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+", short))) / len(short),
-        float(bool(re.fullmatch(r"[0-9a-fA-F]+", short))), float(bool(_KNOWN.match(short))),
+        *(float(kind == k) for k in _KINDS), float(n), entropy(value),
+        sum(map(str.isdigit, value)) / n, sum(map(str.isupper, value)) / n,
+        float(len(re.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+", value))) / n,
+        float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))), float(bool(_KNOWN.match(value))),
         language.transitions(value), language.coverage(value),
         float(around.count("/") + around.count("\\")), float("://" in around or around.startswith(("www.", "./", "~/"))),
         float(bool(re.search(r"\.[A-Za-z]{2,4}$", value))), float(value.count(".")),
         float(bool(re.search(r"[:=]\s{0,3}[\"']?$", before))), float(before[-1:] in ("'", '"')),
         float(any(w in SECRET_WORDS for w in near)), float(any(w in HARMLESS_WORDS for w in near)),
-        float(sum(w in language.words for w in near)), switches(short), float(_harmless(text, start)),
+        float(sum(w in language.words for w in near)), switches(value), float(_harmless(text, start)),
         float(kind == "assigned" and password(text, start, value)),
     ]
 
@@ -261,7 +260,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for value in batch.column(0):
-            counts.update(w for w in _WORD.findall((value.as_py() or "").lower()) if len(w) <= 40)
+            counts.update(_WORD.findall((value.as_py() or "").lower()))
             if len(counts) > 300_000:
                 yield rows()
                 counts.clear()
@@ -283,7 +282,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labelled: DataFrame | None = None) -> Model:
     """The model of a corpus. ``labelled``: columns text, start, end, kind, label (0 or 1) of reviewed findings."""
     scratch = Scratch(docs.sparkSession, "secrets")
-    sample = thinned(docs.select("doc_id", "text"), F.col("doc_id"), MOST_DOCS).select("text")
+    sample = thinned(docs.select("text"), MOST_DOCS)
     counted = docs.select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = scratch.keep(counted, "words")
     top = counted.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
@@ -312,7 +311,7 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None) -> Model:
         rows = sample.mapInArrow(weak, "x array<double>, y int")
     else:
         rows = labelled.select("text", "start", "end", "kind", "label").mapInArrow(reviewed, "x array<double>, y int")
-    rows = thinned(scratch.keep(rows, "examples"), F.col("x"), MOST_ROWS)
+    rows = thinned(scratch.keep(rows, "examples"), MOST_ROWS)
     classes = {r["y"] for r in rows.select("y").distinct().collect()}
     trees = forest.random_forest(rows) if classes == {0, 1} else None
     scratch.drop("examples")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm import words as W
 from strideframe.llm.components import components
-from strideframe.llm.stages import Scratch, sized
+from strideframe.llm.stages import Scratch, fresh, sized
 
 SIZE = 5
 #: (sets above this size, share of the hash space that is counted). A band ends at 4/3 of the next one's start.
@@ -400,13 +400,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi",
     )
     again = scratch.keep(twice.distinct(), "again")  # rows that equal a winner in id and text
-    n, key = losers.count(), "_llm_key"
-    gone = sized(losers.select(F.col("doc_id").alias("_llm_d"), F.col("key").alias("_llm_k")).distinct(), n)
-    same = (F.col(key) == F.col("_llm_k")) & F.col("doc_id").eqNullSafe(F.col("_llm_d"))
+    n, key, other_id, other_key = losers.count(), fresh(docs, "_llm_key"), fresh(docs, "_llm_d"), fresh(docs, "_llm_k")
+    gone = sized(losers.select(F.col("doc_id").alias(other_id), F.col("key").alias(other_key)).distinct(), n)
+    same = (F.col(key) == F.col(other_key)) & F.col("doc_id").eqNullSafe(F.col(other_id))
     keyed = docs.withColumn(key, F.xxhash64("text"))
     kept = keyed.join(gone, same, "left_anti")
     if again.count():
-        repeated = sized(again.select(F.col("doc_id").alias("_llm_d"), F.col("key").alias("_llm_k")), n)
+        repeated = sized(again.select(F.col("doc_id").alias(other_id), F.col("key").alias(other_key)), n)
         kept = kept.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates([key, "doc_id"]))
     return kept.select(*docs.columns)
 

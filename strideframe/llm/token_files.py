@@ -120,18 +120,23 @@ def _parts(path: str) -> Parts:
     return Parts(path)
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id, n_tokens, ids``: ids as little-endian unsigned integers of 32 bits, with the end id."""
+def id_type(path: str, end_id: int) -> np.dtype:
+    """Two bytes hold every id of a vocabulary of up to 65,536, four those of a larger one."""
+    return np.dtype("<u2" if max(_parts(path).tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4")
+
+
+def tokenized(docs: DataFrame, path: str, end_id: int, kind: np.dtype) -> DataFrame:
+    """``doc_id, n_tokens, ids``: ids as little-endian integers of ``kind``, with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, end = _parts(path), np.array([end_id], "<u4").tobytes()
+        parts, end = _parts(path), np.array([end_id], kind).tobytes()
         for batch in batches:
             at, raws = 0, []
             for ids in parts.encode(batch.column(1)):
-                raws.append(ids.astype("<u4").tobytes() + end)
+                raws.append(ids.astype(kind).tobytes() + end)
                 if len(raws) == 1024 or at + len(raws) == batch.num_rows:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, len(raws)), pa.array([len(r) // 4 for r in raws], pa.int64()),
+                        [batch.column(0).slice(at, len(raws)), pa.array([len(r) // kind.itemsize for r in raws], pa.int64()),
                          pa.array(raws, pa.binary())], names=["doc_id", "n_tokens", "ids"],
                     )
                     at, raws = at + len(raws), []
@@ -140,16 +145,19 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for raw in batch.column(0):
-            made = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
-            if len(made) > len(counts):
-                counts, made = made, counts
-            counts[: len(made)] += made
-    ids = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], names=["id", "n"])
+def _counted(kind: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                made = np.bincount(np.frombuffer(raw.as_buffer(), kind))
+                if len(made) > len(counts):
+                    counts, made = made, counts
+                counts[: len(made)] += made
+        ids = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], names=["id", "n"])
+
+    return run
 
 
 # ---- codes
@@ -238,8 +246,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     """Write ``path/codes`` and ``path/segments``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-ids")
-    tokens = scratch.keep(tokenized(docs, tokenizer_path, end_id), "ids")
-    counts = tokens.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    width = id_type(tokenizer_path, end_id)
+    tokens = scratch.keep(tokenized(docs, tokenizer_path, end_id, width), "ids", "zstd")
+    counts = tokens.select("ids").mapInArrow(_counted(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.orderBy("id").collect()  # at most the vocabulary
     ids, n = np.array([r["id"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
     lengths = code_lengths(n)
@@ -252,7 +261,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
         names, sizes, raws, held = [], [], [], 0
 
         def segment() -> pa.RecordBatch:
-            payload = own.pack(np.frombuffer(b"".join(raws), "<u4"))
+            payload = own.pack(np.frombuffer(b"".join(raws), width))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int64()), pa.array([offset], pa.int64()), pa.array([held], pa.int64()),
                  pa.array([names], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())),
@@ -264,7 +273,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
             for doc_id, raw in zip(batch.column(0), batch.column(1)):
                 names.append(doc_id.as_py())
                 raws.append(raw.as_py())
-                sizes.append(len(raws[-1]) // 4)
+                sizes.append(len(raws[-1]) // width.itemsize)
                 held += sizes[-1]
                 if held >= SEGMENT:
                     yield segment()

@@ -1,6 +1,7 @@
 """Every operator against plain Python on small fixtures: nulls, empty and long texts, ties, repeated rows, no rows."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -17,7 +18,7 @@ from strideframe.llm import (
     bpe, components, decontamination, language, nearest, passages, personal, secrets, similar, token_counts, token_files,
 )
 from strideframe.llm import words as W
-from strideframe.llm.stages import Scratch
+from strideframe.llm.stages import Scratch, drawn, thinned
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -533,13 +534,93 @@ def test_language_bounds_per_language(spark, monkeypatch):
     monkeypatch.setattr(language, "WORDS", 30)
     monkeypatch.setattr(language, "GRAMS", 50)
     model = language.fit(docs, F.lit(True))
-    assert set(small) <= set(model.rows[0]) and len(set(big) & set(model.rows[0])) == 30
-    assert "vwxyz" in want.rows[5] and "vwxyz" in model.rows[5]
-    assert all(sum(set(g) <= set("abcdefgh ") for g in model.rows[n]) <= 50 for n in range(1, 6))
+    assert (model.rows(0, small) >= 0).all() and (model.rows(0, sorted(set(big))) >= 0).sum() == 30
+    assert want.rows(5, ["vwxyz"])[0] >= 0 and model.rows(5, ["vwxyz"])[0] >= 0
+    for n in range(1, 6):
+        grams = {f" {w} "[i : i + n] for w in big for i in range(len(w) + 3 - n)}
+        assert (model.rows(n, sorted(grams)) >= 0).sum() <= 50 and (want.rows(n, sorted(grams - {" "})) >= 0).all()
     for m in (want, model):
         assert [m.predict(t)[0] for t in (big[0], small[7], "uvwxyzuvwxyz")] == ["big", "small", "unspaced"]
 
 
+def test_language_against_plain_python(spark):
+    """Words, n-gram types, the common floor, backoff and the share of the best language, written out."""
+    rng = random.Random(21)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(1, 9)))
+    lexicons = {"aa": [word("abcdé") for _ in range(60)], "bb": [word("cdefg") for _ in range(40)], "cc": [word("xyz") for _ in range(5)]}
+    rows = [(i, " ".join(rng.choices(lexicons[lang], k=rng.randrange(1, 30))) + rng.choice(["", " 12 Ab_c", "!"]), lang)
+            for i, lang in enumerate(rng.choices(["aa", "bb", "cc"], k=80))]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    words = defaultdict(Counter)
+    for _, t, lang in rows:
+        words[lang].update(re.findall(r"[^\W\d_]+", t.lower()))
+    grams = [defaultdict(Counter) for _ in range(6)]
+    total = Counter(w for lang in words for w in words[lang].elements())
+    for lang, counts in words.items():
+        grams[0][lang] = Counter({w: k for w, k in counts.items() if total[w] > 1})
+        for w in counts:
+            for n in range(1, 6):
+                grams[n][lang].update(g for g in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n)) if g != " ")
+    langs = sorted(words)
+
+    def value(n, entry):
+        sums = {lang: max(1, grams[n][lang].total()) for lang in langs}
+        floor = -math.log10(max(sums.values())) - 1.0
+        return [math.log10(grams[n][lang][entry] / sums[lang]) - floor if grams[n][lang][entry] else 0.0 for lang in langs]
+
+    def plain(text):
+        mean, n = [0.0] * 3, 0
+        for w, k in Counter(re.findall(r"[^\W\d_]+", text.lower())).items():
+            if any(grams[0][lang][w] for lang in langs):
+                parts, at = [w], 0
+            else:
+                for at in range(5, 0, -1):
+                    parts = [g for g in (f" {w} "[i : i + at] for i in range(len(w) + 3 - at)) if any(grams[at][lang][g] for lang in langs)]
+                    if parts:
+                        break
+            if parts:
+                n += k
+                for p in parts:
+                    mean = [m + k * v / len(parts) for m, v in zip(mean, value(at, p))]
+        if not n:
+            return "aa", 1 / 3
+        mean = [m / n * math.log(10) * min(n, 12) for m in mean]
+        share = [math.exp(m - max(mean)) for m in mean]
+        return langs[max(range(3), key=lambda i: (mean[i], -i))], max(share) / sum(share)
+
+    for text in [t for _, t, _ in rows] + [" ".join(word("abcdefgxyzé") for _ in range(rng.randrange(1, 9))) for _ in range(150)] + ["qqq", "ß 1"]:
+        lang, score = model.predict(text)
+        want = plain(text)
+        assert score == pytest.approx(want[1], rel=1e-9) and (lang == want[0] or score < 0.5 + 1e-9), text
+
+
+def test_samples_are_drawn_row_by_row(spark):
+    rows = spark.range(0, 200_000, numPartitions=4)
+    for same in (rows.select(F.lit(None).cast("long").alias("id")), rows.select(F.lit(7).alias("id")), rows):
+        assert abs(thinned(same, 2000).count() - 2000) < 300
+    assert thinned(rows, 200_000).count() == thinned(rows, 10**9).count() == 200_000
+    # A share far below a millionth still draws, and a share of 1 takes every row.
+    few = drawn(spark.range(0, 40_000_000, numPartitions=8), 5e-7, 3).count()
+    assert 1 <= few <= 60 and drawn(rows, F.lit(1.0), 3).count() == 200_000 and drawn(rows, F.lit(0.0), 3).count() == 0
+
+
+def test_secrets_among_equal_documents(spark):
+    """Documents without ids, and many equal ones, are drawn one by one: the model still learns."""
+    rng = random.Random(6)
+    made = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(40)]
+    rows = [(None, f'the {"token" if i % 2 else "commit"} {"=" if i % 2 else ""} "{made[i % 40]}" and text') for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before, secrets.MOST_DOCS = secrets.MOST_DOCS, 150
+    try:
+        model = secrets.fit(docs)
+    finally:
+        secrets.MOST_DOCS = before
+    assert Counter(r.is_secret for r in secrets.scan(docs, model).collect()) == {True: 300, False: 300}
+    long = secrets.Language(["word"], {})
+    value = "a1" * 3000
+    assert long.transitions(value + "zq" * 900) != long.transitions(value) and long.coverage(value + "word" * 900) > 0
+
+
 def test_language_stage_without_labels(docs, texts):
     kept = language.identified(docs.withColumn("lang", F.lit(None).cast("string")))
     assert kept.columns == docs.columns
@@ -616,3 +697,26 @@ def test_pipeline(spark, sf, tiktoken_ids):
             assert set(after) == {r.doc_id for r in before} and not any(re.search(r"(?i)token = \"[0-9a-f]{40}", r.text) for r in after.values())
     assert len(names) == 5 and all(r.ids == tiktoken_ids(r.text) for r in after.values())
     assert corpus_pipeline.run(spark, sf).count() == len(after)
+
+
+def test_pipeline_corners(spark, tmp_path):
+    """NULLs in every column, empty and repeated rows, columns with names that the stages use, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    words = ["water", "house", "under", "green", "river", "table", "seven", "stone"]
+    text = [" ".join(rng.choices(words, k=40)) for _ in range(6)]
+    rows = [(i, t, "en", "s", len(t), 1, "k", "x") for i, t in enumerate(text)]
+    rows += [rows[0], rows[0], (9, text[1], None, None, None, None, None, None), (None, text[2], "en", "s", 1, 2, "k", "x"),
+             (None, " ".join(words * 5), "en", "s", 1, 3, "k", "x"), (10, None, "en", "s", 0, 4, "k", "x"), (11, "", "en", "s", 0, 5, "k", "x"), (12, "12 34 !", "en", "s", 7, 6, "k", "x")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _llm_key int, hits string, _language string"
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(text[4].split(" ")[5:25])), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(
+        [(i, text[i]) for i in (0, 1, 2, 3, 5)] + [(None, " ".join(words * 5))])
+    assert {(r._llm_key, r._language) for r in out} == {(1, "x"), (3, "x")}
+    (tmp_path / "e").mkdir()
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "e" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
