@@ -134,13 +134,6 @@ def window_arrays(
     return packed(blocked(df, keys, order, along, rule, limit, block_rows), keys, rule, columns).drop("block")
 
 
-def array_rows(windows: DataFrame, keep: Sequence[str], axes: Sequence[str] = tuple(S.AXES)) -> DataFrame:
-    """The reverse: explode per-axis arrays to one row per position (1-based ``pos``)."""
-    return windows.select(
-        *keep, F.posexplode(F.arrays_zip(*[F.col(a) for a in axes])).alias("_p", "_s")
-    ).select(*keep, (F.col("_p") + 1).cast("long").alias("pos"), *[F.col("_s").getField(a).alias(a) for a in axes])
-
-
 def retained(
     df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column], keep: int = S.RETAINED_SAMPLES
 ) -> DataFrame:

@@ -84,10 +84,6 @@ PACKET = _struct(
 WINDOW_REQUEST = _struct(
     **{a: T.ArrayType(_DBL) for a in AXES}, device_id=_STR, sampling_rate=_DBL,
 )
-USERS = _struct(
-    id=_LONG, name=_STR, email=_STR, role=_STR, phone_number=_STR,
-    emergency_contact_name=_STR, emergency_contact_phone=_STR, emergency_contact_email=_STR, created_at=_TS,
-)
 PREDICTIONS = _struct(
     id=_LONG, timestamp=_TS, activity=_STR, confidence=_DBL, risk_level=_STR, is_fall=_BOOL,
     device_id=_STR, model_version=_STR,
@@ -102,7 +98,6 @@ FALL_EVENTS = _struct(
 ALERTS = _struct(
     id=_LONG, fall_event_id=_LONG, alert_type=_STR, message=_STR, created_at=_TS, acknowledged_at=_TS,
 )
-SYSTEM_LOGS = _struct(id=_LONG, timestamp=_TS, level=_STR, event=_STR, message=_STR)
 COMPARISON = T.StructType(
     [T.StructField("Model", _STR)]
     + [
