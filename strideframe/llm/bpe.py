@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strideframe.llm.stages import fresh, with_column
+from strideframe.llm.stages import fresh, give_back, with_column
 
 #: Bounds of the tables of a worker: matches (two generations), pairs of tokens, prefixes of matches.
 _KEPT = 200_000
@@ -54,6 +54,11 @@ class Vocabulary:
         self._whole: dict[int, bool] = {}
         self._prefix: dict[bytes, int] = {}
 
+    def forget(self) -> None:
+        """Empty the bounded tables."""
+        self._apart.clear()
+        self._prefix.clear()
+
     def merged(self, piece: bytes) -> list[int]:
         """Plain merging, lowest rank first: the definition."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -309,7 +314,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
     name = fresh(docs, ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, known, split = _coder(ranks_path, pattern)
+        give_back()  # what earlier stages left
+        vocabulary, known, split = _coder(ranks_path, pattern)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for lo in range(0, batch.num_rows, 256):
@@ -319,6 +325,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
                 flat = np.frombuffer(b"".join(raws), "<u4").astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, name])
+        # Later stages run in the same worker.
+        known.clear()
+        known.before = {}
+        vocabulary.forget()
+        give_back()
 
     return docs.mapInArrow(run, with_column(docs, name, "array<int>"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm import forest
-from strideframe.llm.stages import Scratch, thinned
+from strideframe.llm.stages import Scratch, give_back, thinned
 
 MOST_DOCS = 10_000
 MOST_ROWS = 10_000
@@ -353,6 +353,7 @@ def redacted(docs: DataFrame, model: Model, *, text_col: str = "text", size_col:
     sized = dict(docs.dtypes).get(size_col) == "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             columns = list(batch.columns)
@@ -373,5 +374,6 @@ def redacted(docs: DataFrame, model: Model, *, text_col: str = "text", size_col:
             if sized:
                 columns[batch.schema.get_field_index(size_col)] = pa.array(sizes, pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,7 +1,9 @@
 """Intermediate tables in the shared folder, free column names, and bounded samples of documents."""
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,16 @@ def small_batches(spark: SparkSession, limit: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system: workers live on from stage to stage, and what they keep for
+    themselves adds up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Scratch:
     """Tables of one run below ``spark.checkpoint.dir``; they cut lineage and survive lost executors."""
 
