@@ -2,11 +2,11 @@
 
 The base spans are what the strict patterns find; they always stay. Generators also propose looser spans (written-out
 "at" signs, any groups of seven or more digits), which may overlap base spans and each other. Gradient-boosted trees are
-fitted on loose candidates only, those that can be added, of a bounded sample of documents (about
-``MOST_DOCS``, drawn row by row, and ``MOST_ROWS`` candidates). Labelled findings are an argument; without any, candidates are labelled by their loose
-format (``weak_label``), and every base span of the sample is also rewritten in its place to loose forms of its kind, both
-such that are personal data and such that are not (``loosened``). On candidates held out from the fit, scores are calibrated
-per kind by isotonic regression, and the threshold of a kind is the least score with a calibrated probability of ``SURE``.
+fitted on loose candidates only, those that can be added, of all documents. Labelled findings are an argument; without any,
+candidates are labelled by their loose format (``weak_label``), and every base span is also rewritten in its place to loose
+forms of its kind, both such that are personal data and such that are not (``loosened``). Every one of them either is learnt
+from or, three in ten by a hash of their text, held out. On all that are held out, scores are calibrated per kind by isotonic
+regression, and the threshold of a kind is the least score with a calibrated probability of ``SURE``.
 Candidates above it that overlap no span chosen before them, base or better scored, are added.
 
 Defined cases: NULL and empty texts have no spans; without candidates of both classes only base spans are returned.
@@ -16,8 +16,8 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm import forest
-from strideframe.llm.stages import Scratch, thinned
+from strideframe.llm.stages import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_DOCS = 20_000
-MOST_ROWS = 10_000
 SURE = 0.9
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -257,7 +255,7 @@ _EXAMPLE = "x array<double>, y int, kind int, key long"
 
 
 def _example(text: str, span: Span, label: int) -> tuple[list[float], int, int, int]:
-    """Features, label, kind, and a number by which rows are drawn: equal features are not drawn together."""
+    """Features, label, kind, and a number by which rows are held out: equal texts go together, equal features do not."""
     return features(text, span), label, span[2], zlib.crc32(text[max(0, span[0] - 80) : span[1] + 80].encode())
 
 
@@ -268,10 +266,15 @@ def _example_rows(made: list[tuple[list[float], int, int, int]]) -> pa.RecordBat
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = []
     for batch in batches:
         for value in batch.column(0):
-            made = [_example(t, c, weak_label(t, c)) for t, c in _made(value.as_py() or "")]
-            yield _example_rows(made)
+            for text, span in _made(value.as_py() or ""):
+                made.append(_example(text, span, weak_label(text, span)))
+                if len(made) == 1000:
+                    yield _example_rows(made)
+                    made = []
+    yield _example_rows(made)
 
 
 def _reviewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,42 +286,69 @@ def _reviewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _example_rows(made)
 
 
+Pool = tuple[float, int, int]  # least score, ones, rows
+
+
+def pooled(rows: Iterable[Pool]) -> list[Pool]:
+    """Pools by rising score whose shares of ones rise and fit the rows best (pool adjacent violators). Pools of parts of the
+    rows can be pooled again."""
+    pools: list[Pool] = []
+    for score, ones, n in rows:
+        while pools and pools[-1][1] * n >= ones * pools[-1][2]:
+            score, more, rest = pools.pop()
+            ones, n = ones + more, n + rest
+        pools.append((score, ones, n))
+    return pools
+
+
 def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores, ascending, and the non-decreasing probabilities that fit the labels best (pool adjacent violators)."""
+    """Scores, ascending, and the non-decreasing probabilities that fit the labels best."""
     order = np.argsort(scores, kind="stable")
-    pools: list[list[float]] = []
-    for y in labels[order].tolist():
-        pools.append([y, 1])
-        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            y1, n1 = pools.pop()
-            pools[-1][0] += y1
-            pools[-1][1] += n1
-    return scores[order], np.repeat([y / n for y, n in pools], [n for _, n in pools])
+    pools = pooled(zip(scores[order].tolist(), labels[order].tolist(), [1] * len(order)))
+    return scores[order], np.repeat([y / n for _, y, n in pools], [n for _, _, n in pools])
+
+
+def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``kind, score, ones, n`` of a range, in order, pooled."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    made = [(kind, *pool) for kind, own in groupby(rows, lambda r: r[0]) for pool in pooled(r[1:] for r in own)]
+    columns = list(zip(*made)) or [()] * 4
+    kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["kind", "score", "ones", "n"])
+
+
+def calibrated(trees: forest.Forest, hold: DataFrame) -> list[list[Pool]]:
+    """Per kind, the pools of all rows held out: equal scores are counted together, ranges of scores pooled by tasks."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scores = pa.array(trees.scores(forest.matrix(batch.column(0))))
+                yield pa.RecordBatch.from_arrays([batch.column(2), scores, batch.column(1)], names=["kind", "score", "y"])
+
+    scored = hold.select("x", "y", "kind").mapInArrow(score, "kind int, score double, y int")
+    counted = scored.groupBy("kind", "score").agg(F.sum("y").alias("ones"), F.count("*").alias("n"))
+    ranges = counted.repartitionByRange("kind", "score").sortWithinPartitions("kind", "score")
+    found = sorted(tuple(r) for r in ranges.mapInArrow(_pools, "kind int, score double, ones long, n long").collect())
+    return [pooled(r[1:] for r in found if r[0] == k) for k in range(len(KINDS))]
 
 
 def fit(docs: DataFrame, labelled: DataFrame | None = None) -> Model:
     """The model of a corpus. ``labelled``: columns text, start, end, kind (a name of ``KINDS``), label (0 or 1)."""
     scratch = Scratch(docs.sparkSession, "personal")
     if labelled is None:
-        made = thinned(docs.select("text"), MOST_DOCS).mapInArrow(_examples, _EXAMPLE)
+        made = docs.select("text").mapInArrow(_examples, _EXAMPLE)
     else:
         made = labelled.select("text", "start", "end", "kind", "label").mapInArrow(_reviewed, _EXAMPLE)
-    made = scratch.keep(made, "examples")
-    made = thinned(made, MOST_ROWS).withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(10)))
-    learn, hold = made.where("part < 7"), made.where("part >= 7").collect()
-    classes = {r["y"] for r in learn.select("y").distinct().collect()}
-    if classes != {0, 1} or not hold:
-        return Model(None, [2.0] * 4)
-    trees = forest.boosted(learn)
-    scores, labels = trees.scores(np.array([r["x"] for r in hold])), np.array([r["y"] for r in hold])
-    kinds, thresholds = np.array([r["kind"] for r in hold]), []
-    for k in range(len(KINDS)):
-        own = kinds == k
-        level, chance = isotonic(scores[own], labels[own])
-        sure = np.flatnonzero(chance >= SURE)
-        thresholds.append(float(level[sure[0]]) if len(sure) else 2.0)
+    made = scratch.keep(made, "examples").withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(10)))
+    learn, hold = made.where("part < 7"), made.where("part >= 7")
+    model = Model(None, [2.0] * len(KINDS))
+    if {r["y"] for r in learn.select("y").distinct().collect()} == {0, 1} and not hold.isEmpty():
+        trees = forest.boosted(learn)
+        sure = [min((s for s, ones, n in pools if ones / n >= SURE), default=2.0) for pools in calibrated(trees, hold)]
+        model = Model(trees, sure)
     scratch.drop("examples")
-    return Model(trees, thresholds)
+    return model
 
 
 def _text(spans: list[Span]) -> str:

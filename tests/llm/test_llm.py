@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.llm import (
-    bpe, components, decontamination, language, nearest, passages, personal, secrets, similar, token_counts, token_files,
+    bpe, components, decontamination, forest, language, nearest, passages, personal, secrets, similar, token_counts, token_files,
 )
 from strideframe.llm import words as W
 from strideframe.llm.stages import Scratch, drawn, thinned
@@ -487,6 +487,56 @@ def test_personal_loose_spans(spark):
     assert model.spans("text 123.456789")[1] == [(5, 15, 3)] and model.spans("text 123456789")[1] == []
 
 
+def test_personal_fit_takes_every_candidate(spark, monkeypatch):
+    """Trees and thresholds come from the candidates of all documents, in any partitions."""
+    rows = [(i, f"tel: 0171 {i + 1000000} or {i + 10000000}" if i % 2 else "none") for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    boosted, calibrated, seen = forest.boosted, personal.calibrated, []
+
+    def learnt(rows):
+        seen.append(rows.count())
+        return boosted(rows, trees=2)
+
+    def held(trees, hold):
+        pools = calibrated(trees, hold)
+        seen.append(sum(n for own in pools for _, _, n in own))
+        return pools
+
+    monkeypatch.setattr(forest, "boosted", learnt)
+    monkeypatch.setattr(personal, "calibrated", held)
+    models = [personal.fit(d) for d in (docs, docs.coalesce(1))]
+    assert seen[:2] == seen[2:] and sum(seen[:2]) == 24_000
+    assert models[0].thresholds == models[1].thresholds and models[0].thresholds[3] < 1
+    plain = [[c.tolist() for t in m.trees.trees for c in t] for m in models]
+    assert plain[0] == plain[1]
+
+
+def test_boosted_trees_see_every_row(spark):
+    """Splits beside a value that few rows of many have; the same trees at any parallelism."""
+    rows = spark.range(0, 60_000, 1, 6).select(
+        F.when(F.col("id") % 15_000 == 7, 100.5).otherwise((F.col("id") % 200).cast("double")).alias("v"), (F.col("id") % 15_000 == 7).cast("int").alias("y")
+    )
+    rows = rows.select(F.array("v", F.lit(1.0)).alias("x"), "y")
+    made = [forest.boosted(r) for r in (rows, rows.coalesce(1))]
+    scores = made[0].scores(np.array([[100.0, 1.0], [100.5, 1.0], [101.0, 1.0]])).tolist()
+    assert scores[0] < 0.1 and scores[1] > 0.9 and scores[2] < 0.1
+    assert [[c.tolist() for c in t] for t in made[0].trees] == [[c.tolist() for c in t] for t in made[1].trees]
+
+
+def test_personal_pools(spark):
+    """Pools of ranges, pooled again, are the pools of all rows; equal scores are one row."""
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(60) / 60, rng.randrange(2), 1) for _ in range(800))
+    tied = [(s, sum(y for t, y, _ in rows if t == s), sum(t == s for t, _, _ in rows)) for s in sorted({r[0] for r in rows})]
+    whole = personal.pooled(tied)
+    for cut in (1, 20, 45):
+        assert personal.pooled(personal.pooled(tied[:cut]) + personal.pooled(tied[cut:])) == whole
+    steps = [n for i in range(60) for n in ((0, i / 60, 2 * i + 1, 2 * i + 2, 0.0), (-1, 0.0, 0, 0, i / 60))]
+    trees = forest.Forest([[*steps, (-1, 0.0, 0, 0, 1.0)]], [1.0], False)  # the score is the feature
+    hold = spark.createDataFrame([([s], y, 1) for s, y, _ in rows], "x array<double>, y int, kind int").repartition(3)
+    assert personal.calibrated(trees, hold) == [[], whole, [], []]
+
+
 # ---- 9
 
 
