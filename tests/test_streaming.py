@@ -8,13 +8,14 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strideframe import schemas as S
 from strideframe.operators import lifecycle, windows
 from strideframe.sources import writers
-from strideframe.streaming import jobs, sinks
+from strideframe.streaming import jobs, processors, sinks
 from strideframe.streaming.processors import DeviceBuffer
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -165,6 +166,53 @@ def test_chunks_make_no_difference(rule):
         assert all(np.array_equal(a, b) for a, b in zip(whole["gyro_y"], other["gyro_y"]))
 
 
+def test_devices_of_a_bucket_are_apart():
+    """Many devices under one key, in few calls to the state, are what each is alone."""
+    def frame(n, at, shift):
+        one = next(chunks(n, n, at))
+        return one.assign(**{a: one[a] + shift for a in S.AXES})
+
+    def blocks(parts, size):
+        rows = pd.concat([f.assign(stream_key=k) for k, f in parts], ignore_index=True)
+        for a in range(0, len(rows), size):
+            some = pa.Table.from_pandas(rows[a : a + size], preserve_index=False)
+            yield pd.DataFrame({"rows": [processors._packed(some.set_column(some.column_names.index("stream_key"), "stream_key", some["stream_key"].cast("string")))]})
+
+    class Counted(Memory):
+        calls = 0
+
+        def get(self):
+            Counted.calls += 1
+            return super().get()
+
+        def getValueState(self, *_):
+            return Counted()
+
+        getListState = getValueState
+
+    names, rule = [None, *[f"d{i}" for i in range(40)]], windows.WindowRule(40, 7, 3, "front")
+    together, apart, out, want = processors.DeviceBuckets(rule, 150), {k: DeviceBuffer(rule, 150) for k in names}, [], []
+    together.init(Counted())
+    for buffer in apart.values():
+        buffer.init(Memory())
+    at = dict.fromkeys(names, 0)
+    for step, size in enumerate((64, 1000, 77, 4000, 50)):
+        parts = [(k, frame(n, at[k], i)) for i, k in enumerate(names) if (n := (i * 37 + step * 90) % 230)]
+        for sent in together.handleInputRows((0,), blocks(parts, size), None):
+            out.append(pa.ipc.open_stream(sent["rows"][0]).read_all().to_pandas())
+        for k, f in parts:
+            want += list(apart[k].handleInputRows((k,), iter([f]), None))
+            at[k] += len(f)
+    order = ["stream_key", "kind", "n"]
+    got, want = (pd.concat(x).sort_values(order).reset_index(drop=True) for x in (out, want))
+    assert len(got) == len(want) and Counted.calls <= 2 * 5
+    for c in (*order, "ts", "lat", "lon"):
+        pd.testing.assert_series_equal(got[c], want[c], check_dtype=False)
+    assert all(np.array_equal(x, y) for a in S.AXES for x, y in zip(got[a], want[a]))
+    held = sum(len(processors._opened([b], processors._SAMPLES)) for (b,) in together.blocks.get())
+    assert held <= 2 * sum(min(n, 150) for n in at.values())
+
+
 def test_one_device_with_very_many_samples_in_a_batch():
     buffer, made = DeviceBuffer(windows.PHONE_RULE), 0
     buffer.init(Memory())
@@ -361,3 +409,22 @@ def test_score_windows_keeps_windows_without_location(spark):
     made = features.message_features(windows, ["stream_key", "n"], S.FEATURE_COLUMNS, meta=["ts", "lat", "lon"])
     assert sorted((r.n, r.lat) for r in scorer(made).collect()) == [(1, None), (2, 1.0)]
     assert jobs.score_windows(windows).count() == 2
+
+
+def test_falls_share_their_state(spark, tmp_path):
+    """What the state holds and is asked grows with the buckets, not with the falls: a call a fall took minutes."""
+    def row(event, at, seq, what):
+        return (event, T0 + timedelta(seconds=at), seq, what, None, None, None, 7, "d", 0.5, "HIGH")
+
+    falls = [row(None if e == 0 else e, e / 100, 0, "FALL") for e in range(4000)]
+    answers = [row(None if e == 0 else e, 45 + e / 100, 1, "OK") for e in range(0, 4000, 2)] + [row(9000, 50, 1, "HELP")]
+    changes = jobs.confirmations(feed(spark, tmp_path, [falls, answers, [row(9999, 900, 9, "FALL")]], LOG), 60.0, "100 seconds")
+    tables = sinks.BatchTables(spark, str(tmp_path / "t"))
+    users = spark.createDataFrame([(7, "Ann", "Bob", "+1")], "id long, name string, emergency_contact_name string, emergency_contact_phone string")
+    query = jobs.run_batches(changes, tables.sink(sinks.confirmation_tables(users)), str(tmp_path / "t"))
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) < 4000
+    got = tables.read("changes").cache()
+    assert Counter(r.status for r in got.collect()) == {"PENDING_CONFIRMATION": 4001, "CANCELLED_BY_USER": 2000, "CONFIRMED": 2000}
+    assert {r.event_id for r in got.where("status = 'CONFIRMED'").collect()} == set(range(1, 4000, 2))
+    assert got.where("event_id IS NULL AND status = 'CANCELLED_BY_USER'").count() == 1
+    assert [(r.event_id, r.code) for r in tables.read("rejects").collect()] == [(9000, "NOT_OPEN")]
