@@ -53,6 +53,32 @@ def test_matrices(spark, tmp_path):
     assert [f.name for f in out.schema] == [f.name for f in S.SENSOR_STREAM]
 
 
+def test_matrices_are_sorted_once_and_their_lines_stay_in_place(spark, tmp_path, monkeypatch):
+    """Eight files need one sort, and numbering deals no line by its block."""
+    rows = spark.range(300).repartition(7).select(
+        (F.col("id") % 30).alias("subject"), F.floor(F.col("id") / 30).alias("n"), (F.col("id") % 7 + 1).alias("label"),
+        *[F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.col("id") + i / 8.0).alias(a) for a in S.AXES],
+    )
+    sorts, sort = [], type(rows).orderBy
+    monkeypatch.setattr(type(rows), "orderBy", lambda self, *a: sorts.append(a) or sort(self, *a))
+    for codec, ending in (("none", ".txt"), ("gzip", ".txt.gz")):
+        sorts.clear()
+        root = str(tmp_path / codec)
+        writers.write_matrices(rows, ["subject", "n"], root, "train", *([] if codec == "none" else [codec]))
+        assert len(sorts) == 1 and {p.name[p.name.index(".txt"):] for p in (tmp_path / codec).rglob("part-*")} == {ending}
+        back = readers.read_matrices(spark, root, ["train"])
+        got = [(r.window_id, r.subject_id, r.acc_x, r.gyro_z) for r in back.where("step = 3").collect()]
+        order = [(s, n) for s in range(30) for n in range(10)]
+        assert sorted(got) == sorted((f"train_{i}", s, n * 30 + s + 0.5, n * 30 + s + 0.5) for i, (s, n) in enumerate(order))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = readers.numbered_lines(spark, str(tmp_path / "none" / "train" / "y_train.txt"))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+
+
 def test_lines_of_many_blocks_and_files(spark, tmp_path):
     """Positions run on over blocks of a file and over part files; empty lines have none."""
     (tmp_path / "f").mkdir()
