@@ -213,6 +213,25 @@ def test_devices_of_a_bucket_are_apart():
     assert held <= 2 * sum(min(n, 150) for n in at.values())
 
 
+def test_what_a_sample_lacks_is_null_in_its_window():
+    rows = next(chunks(10, 10)).assign(stream_key="k")
+    rows.loc[7, "gyro_x"] = np.nan
+    buffer = processors.DeviceBuckets(windows.WindowRule(4, 4, 4, None), 4)
+    buffer.init(Memory())
+
+    def sent(part):
+        return iter([pd.DataFrame({"rows": [processors._packed(part)]})])
+
+    whole = pa.Table.from_pandas(rows, preserve_index=False)
+    made = [pa.ipc.open_stream(f["rows"][0]).read_all() for f in buffer.handleInputRows((0,), sent(whole), None)]
+    got = {(r["kind"], r["n"]): r for t in made for r in t.to_pylist()}
+    assert got["window", 8]["gyro_x"][-1] is None and None not in got["window", 8]["gyro_x"][:3] + got["window", 8]["gyro_y"]
+    assert got["tick", 8]["gyro_x"] == [None] and got["tick", 8]["lon"] is None and got["tick", 8]["lat"] == 0.0
+    timeless = whole.set_column(whole.column_names.index("ts"), "ts", pa.nulls(10, pa.int64()))
+    with pytest.raises(ValueError, match="time"):
+        list(buffer.handleInputRows((0,), sent(timeless), None))
+
+
 def test_one_device_with_very_many_samples_in_a_batch():
     buffer, made = DeviceBuffer(windows.PHONE_RULE), 0
     buffer.init(Memory())
